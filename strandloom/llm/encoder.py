@@ -14,10 +14,16 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 END = struct.pack("<I", 0)
+#: A word, marks, a line break, a word, marks.  Each is a piece of its own for the
+#: pre-tokenizer, so a part of this shape is put together from the ids of its pieces.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_SHAPE = re.compile(rf"({_LETTERS}{{1,48}})([^\w\s']{{0,24}})(\n?)({_LETTERS}{{0,48}})([^\w\s']{{0,24}})")
 _OPEN: dict[str, "Encoder"] = {}
 
 
@@ -41,13 +47,15 @@ class Encoder:
     emptied, which changes the time and nothing else.
     """
 
-    def __init__(self, path: str, entries: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, entries: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._entries, self._longest = entries, longest
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}  # with a space before the key
+        self._bare: dict[str, bytes] = {}
+        self._line = struct.pack("<I", self._tokenizer.encode("\n", add_special_tokens=False).ids[0])
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, at in vocabulary.items():
@@ -57,52 +65,93 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
-    def _parts(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it.  Many are encoded as one
+    def _joined(self, words: list[str], gap: str) -> list[bytes]:
+        """Ids of each word with gap before it.  Many are encoded as one
         string, and each gets the ids that make up its bytes."""
         out = []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self._tokenizer.encode_batch_fast([gap + gap.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum([len(w.encode()) + 1 for w in some])
             cuts = np.searchsorted(np.cumsum(self._bytes[ids]), ends, "left") + 1
             data, cuts = ids.tobytes(), (4 * cuts).tolist()
             out += [data[i:j] for i, j in zip([0, *cuts], cuts)]
         return out
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        known = self._known
-        if len(known) > self._entries:
-            known.clear()
-        split, missing = [], set()
-        for text in texts:
-            if not text:
-                split.append(None)
-                continue
-            parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-            split.append(parts)
-            missing.update(parts[1:])
-        missing.difference_update(known)
-        fresh: dict[str, bytes] = {}
-        if missing:
-            new = list(missing)
-            for word, ids in zip(new, self._parts(new)):
-                (known if len(word) <= self._longest else fresh)[word] = ids
-        heads = iter(self._library([p[0] for p in split if p]))
-        out = []
-        for parts in split:
-            if parts is None:
-                out.append(b"")
-                continue
-            head = next(heads)
-            try:
-                out.append(head + b"".join(map(known.__getitem__, parts[1:])))
-            except KeyError:
-                out.append(head + b"".join(known[w] if w in known else fresh[w] for w in parts[1:]))
-        return out
+    def _learn(self, words: set[str], bare: set[str]) -> None:
+        words, bare = list(words), list(bare)
+        self._known.update(zip(words, self._joined(words, " ")))
+        # A line break is a piece of its own before these, and one id.
+        self._bare.update(zip(bare, (ids[4:] for ids in self._joined(bare, "\n"))))
 
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each distinct part, from memory or else from the library."""
+        known, bare = self._known, self._bare
+        if len(known) + len(bare) > self._entries:
+            known.clear()
+            bare.clear()
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        shapes, new, new_bare, odd = [], set(), set(), []
+        for i in missing:
+            if shape := _SHAPE.fullmatch(words[i]):
+                shapes.append((i, shape := shape.groups()))
+                if shape[0] not in known:
+                    new.add(shape[0])
+                for part in (shape[1], shape[3], shape[4]):
+                    if part and part not in bare:
+                        new_bare.add(part)
+            else:
+                odd.append(i)
+        self._learn(new, new_bare)
+        for i, (word, mark, line, second, last) in shapes:
+            ids = known[word]
+            if mark:
+                ids += bare[mark]
+            if line:
+                ids += self._line
+            if second:
+                ids += bare[second]
+            if last:
+                ids += bare[last]
+            found[i] = ids
+        for i, ids in zip(odd, self._joined([words[i] for i in odd], " ")):
+            found[i] = ids
+            if len(words[i]) <= self._longest:
+                known[words[i]] = ids
+        return found
 
-def in_slices(texts: list, size: int = 2 << 20):
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The distinct parts are found column-wise, looked up once each, and their ids gathered."""
+        rows = [i for i, text in enumerate(texts) if text]
+        plain = [i for i in rows if not _UNSAFE.search(texts[i])]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        first = lists.offsets.to_numpy().tolist()
+        spans = dict(zip(plain, zip(first, first[1:])))
+        more: list[str] = []
+        at = first[-1]
+        for i in rows:
+            if i not in spans:
+                parts = _CUT.split(texts[i])
+                more += parts
+                spans[i] = (at, at + len(parts))
+                at += len(parts)
+        coded = pc.dictionary_encode(pa.concat_arrays([lists.flatten(), pa.array(more, pa.string())]))
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ends = np.cumsum(each)
+        place = np.repeat(starts[which] - (ends - each), each)
+        place += np.arange(len(place))
+        joined, ends = data[place], ends.tolist()
+        # The first part of a text has no space before it.
+        heads = dict(zip(rows, self._library([_CUT.split(texts[i], maxsplit=1)[0] for i in rows])))
+        return [heads[i] + joined[ends[spans[i][0]] : ends[spans[i][1] - 1]].tobytes() if i in spans else b"" for i in range(len(texts))]
+
+
+def in_slices(texts: list, size: int = 8 << 20):
     """Index ranges of texts with about size characters each, so that a batch of long texts stays small."""
     start = total = 0
     for at, text in enumerate(texts):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, records
+from . import common, packing, records
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,14 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "byte_start", "byte_size")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
+        "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
