@@ -43,23 +43,30 @@ def opened(path: str) -> "Encoder":
 class Encoder:
     """encode() gives the ids of a text as little-endian unsigned 32-bit integers.
 
-    ``entries`` bounds how many parts are remembered; beyond it the memory is
-    emptied, which changes the time and nothing else.
+    The parts met so far are kept as columns (strings, offsets, ids), so that a
+    batch is looked up and put together without a Python object per part.
+    ``most_bytes`` bounds these columns; beyond it they are emptied, which
+    changes the time and nothing else.
     """
 
-    def __init__(self, path: str, entries: int = 600_000, longest: int = 48):
+    def __init__(self, path: str, most_bytes: int = 72 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._entries, self._longest = entries, longest
-        self._known: dict[str, bytes] = {}  # with a space before the key
-        self._bare: dict[str, bytes] = {}
+        self._most = most_bytes
         self._line = struct.pack("<I", self._tokenizer.encode("\n", add_special_tokens=False).ids[0])
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, at in vocabulary.items():
             self._bytes[at] = len(token)  # the vocabulary writes each byte as one character
+        self._forget()
+
+    def _forget(self) -> None:
+        self._parts = pa.array([], pa.string())  # with a space before each
+        self._data = np.zeros(0, "<u4")
+        self._ends = np.zeros(0, np.int64)
+        self._bare: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -69,8 +76,8 @@ class Encoder:
         """Ids of each word with gap before it.  Many are encoded as one
         string, and each gets the ids that make up its bytes."""
         out = []
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
             ids = np.array(self._tokenizer.encode_batch_fast([gap + gap.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum([len(w.encode()) + 1 for w in some])
             cuts = np.searchsorted(np.cumsum(self._bytes[ids]), ends, "left") + 1
@@ -78,51 +85,67 @@ class Encoder:
             out += [data[i:j] for i, j in zip([0, *cuts], cuts)]
         return out
 
-    def _learn(self, words: set[str], bare: set[str]) -> None:
-        words, bare = list(words), list(bare)
-        self._known.update(zip(words, self._joined(words, " ")))
-        # A line break is a piece of its own before these, and one id.
-        self._bare.update(zip(bare, (ids[4:] for ids in self._joined(bare, "\n"))))
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of each distinct part, from memory or else from the library."""
-        known, bare = self._known, self._bare
-        if len(known) + len(bare) > self._entries:
-            known.clear()
-            bare.clear()
-        found = list(map(known.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        shapes, new, new_bare, odd = [], set(), set(), []
-        for i in missing:
-            if shape := _SHAPE.fullmatch(words[i]):
-                shapes.append((i, shape := shape.groups()))
-                if shape[0] not in known:
-                    new.add(shape[0])
-                for part in (shape[1], shape[3], shape[4]):
-                    if part and part not in bare:
-                        new_bare.add(part)
+    def _known(self, words: list[str]) -> dict[str, bytes]:
+        """Those of the words that are kept already, with their ids."""
+        at = pc.index_in(pa.array(words, pa.string()), value_set=self._parts)
+        rows = at.drop_null().to_numpy()
+        ends = self._ends[rows]
+        begins = np.where(rows > 0, self._ends[rows - 1], 0)
+        names = [w for w, there in zip(words, at.is_valid().to_pylist()) if there]
+        return {w: self._data[i:j].tobytes() for w, i, j in zip(names, begins.tolist(), ends.tolist())}
+
+    def _learn(self, new: list[str]) -> None:
+        """Append parts that aren't kept yet, in this order."""
+        found: dict[str, bytes] = {}
+        shapes, whole, bare = [], set(), set()
+        for part in new:
+            shape = _SHAPE.fullmatch(part)
+            if shape and shape.end(1) < len(part):
+                shapes.append((part, shape := shape.groups()))
+                whole.add(shape[0])
+                bare.update(x for x in (shape[1], shape[3], shape[4]) if x and x not in self._bare)
             else:
-                odd.append(i)
-        self._learn(new, new_bare)
-        for i, (word, mark, line, second, last) in shapes:
-            ids = known[word]
+                whole.add(part)
+        heads = list(whole.difference(new))
+        found |= self._known(heads)
+        more = [w for w in heads if w not in found]
+        fresh = [w for w in new if w in whole] + more
+        found |= zip(fresh, self._joined(fresh, " "))
+        # A line break is a piece of its own before these, and one id.
+        bare_list = list(bare)
+        self._bare.update(zip(bare_list, (ids[4:] for ids in self._joined(bare_list, "\n"))))
+        tail = self._bare
+        for part, (word, mark, line, second, last) in shapes:
+            ids = found[word]
             if mark:
-                ids += bare[mark]
+                ids += tail[mark]
             if line:
                 ids += self._line
             if second:
-                ids += bare[second]
+                ids += tail[second]
             if last:
-                ids += bare[last]
-            found[i] = ids
-        for i, ids in zip(odd, self._joined([words[i] for i in odd], " ")):
-            found[i] = ids
-            if len(words[i]) <= self._longest:
-                known[words[i]] = ids
-        return found
+                ids += tail[last]
+            found[part] = ids
+        new = new + more
+        ids = [found[w] for w in new]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self._ends = np.concatenate([self._ends, np.cumsum(sizes) + len(self._data)])
+        self._data = np.concatenate([self._data, np.frombuffer(b"".join(ids), dtype="<u4")])
+        self._parts = pa.concat_arrays([self._parts, pa.array(new, pa.string())])
+
+    def _rows_of(self, parts: pa.Array) -> np.ndarray:
+        """The row of each part in the columns; parts that are new are learnt."""
+        if self._parts.nbytes + self._data.nbytes + self._ends.nbytes > self._most or len(self._bare) > 200_000:
+            self._forget()
+        at = pc.index_in(parts, value_set=self._parts)
+        rows = at.fill_null(-1).to_numpy().astype(np.int64)
+        if at.null_count:
+            coded = pc.dictionary_encode(parts.filter(at.is_null()))
+            rows[rows < 0] = len(self._parts) + coded.indices.to_numpy()
+            self._learn(coded.dictionary.to_pylist())
+        return rows
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The distinct parts are found column-wise, looked up once each, and their ids gathered."""
         rows = [i for i, text in enumerate(texts) if text]
         plain = [i for i in rows if not _UNSAFE.search(texts[i])]
         lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
@@ -136,28 +159,24 @@ class Encoder:
                 more += parts
                 spans[i] = (at, at + len(parts))
                 at += len(parts)
-        coded = pc.dictionary_encode(pa.concat_arrays([lists.flatten(), pa.array(more, pa.string())]))
-        ids = self._ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        data, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
+        which = self._rows_of(pa.concat_arrays([lists.flatten(), pa.array(more, pa.string())]))
+        sizes = np.diff(self._ends, prepend=0)
         each = sizes[which]
         ends = np.cumsum(each)
-        place = np.repeat(starts[which] - (ends - each), each)
-        place += np.arange(len(place))
-        joined, ends = data[place], ends.tolist()
+        place = np.repeat((self._ends[which] - ends).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        joined, ends = self._data[place], ends.tolist()
         # The first part of a text has no space before it.
         heads = dict(zip(rows, self._library([_CUT.split(texts[i], maxsplit=1)[0] for i in rows])))
         return [heads[i] + joined[ends[spans[i][0]] : ends[spans[i][1] - 1]].tobytes() if i in spans else b"" for i in range(len(texts))]
 
 
-def in_slices(texts: list, size: int = 8 << 20):
-    """Index ranges of texts with about size characters each, so that a batch of long texts stays small."""
-    start = total = 0
-    for at, text in enumerate(texts):
-        total += len(text or "")
-        if total >= size:
-            yield start, at + 1
-            start, total = at + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(keys: pa.Array, texts: pa.Array, size: int = 6 << 20):
+    """(keys, texts) as lists, with about size bytes of text each, so that a batch of long texts stays small."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield keys.slice(start, stop - start).to_pylist(), texts.slice(start, stop - start).to_pylist()
+        start = stop

@@ -222,10 +222,9 @@ def _pieces(tokenizer: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder.opened(tokenizer).encode_many
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in encoder.in_slices(texts):
+            for keys, texts in encoder.slices(batch.column(0), batch.column(1)):
                 rows = []
-                for key, ids in zip(keys[i:j], encode(texts[i:j])):
+                for key, ids in zip(keys, encode(texts)):
                     ids += encoder.END
                     n, start = len(ids) // 4, 0
                     size = n % capacity or capacity  # the first piece takes what full ones leave

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, records
+from . import common, langid, packing, records, simhash, substring
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +17,32 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "byte_start", "byte_size")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the rows that aren't held out, predict all."""
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(common.crc_mod("doc_id", 4) == 2, F.lit(False)))
+    profiles = langid.train(docs.where("not held_out and doc_id is not null"))
+    return langid.predict(docs, profiles, keep=[F.col("held_out")])
+
+
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), radius=3, words_per_shingle=3)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(common.table(spark, sf_dir, "documents"), width=35)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
+        "op2_language_id": op2_language_id,
+        "op4_simhash_groups": op4_simhash_groups,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

@@ -93,9 +93,8 @@ def _frames(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder.opened(tokenizer).encode_many
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in encoder.in_slices(texts):
-                rows = [frame(k, ids + encoder.END)[:-1] for k, ids in zip(keys[i:j], encode(texts[i:j]))]
+            for keys, texts in encoder.slices(batch.column(0), batch.column(1)):
+                rows = [frame(k, ids + encoder.END)[:-1] for k, ids in zip(keys, encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     return run
