@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, records, simhash, substring
+from . import common, htmltext, langid, packing, records, simhash, substring, toxicity
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,22 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), radius=3, words_per_shingle=3)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from labelled rows that aren't held out, score all documents."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(common.crc_mod("doc_id", 5) != 0))
+    held_out = F.coalesce(common.crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model, keep=[held_out])
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(common.table(spark, sf_dir, "documents"), width=35)
 
@@ -41,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_records": op1_token_records,
         "op2_language_id": op2_language_id,
         "op4_simhash_groups": op4_simhash_groups,
+        "op5_toxicity": op5_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_main_text": op9_main_text,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
