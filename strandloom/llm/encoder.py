@@ -20,10 +20,6 @@ import pyarrow.compute as pc
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 END = struct.pack("<I", 0)
-#: A word, marks, a line break, a word, marks.  Each is a piece of its own for the
-#: pre-tokenizer, so a part of this shape is put together from the ids of its pieces.
-_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
-_SHAPE = re.compile(rf"({_LETTERS}{{1,48}})([^\w\s']{{0,24}})(\n?)({_LETTERS}{{0,48}})([^\w\s']{{0,24}})")
 _OPEN: dict[str, "Encoder"] = {}
 
 
@@ -55,7 +51,6 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._most = most_bytes
-        self._line = struct.pack("<I", self._tokenizer.encode("\n", add_special_tokens=False).ids[0])
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, at in vocabulary.items():
@@ -66,83 +61,37 @@ class Encoder:
         self._parts = pa.array([], pa.string())  # with a space before each
         self._data = np.zeros(0, "<u4")
         self._ends = np.zeros(0, np.int64)
-        self._bare: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
-    def _joined(self, words: list[str], gap: str) -> list[bytes]:
-        """Ids of each word with gap before it.  Many are encoded as one
+    def _learn(self, new: pa.Array) -> None:
+        """Append parts that aren't kept yet, in this order.  Many are encoded as one
         string, and each gets the ids that make up its bytes."""
-        out = []
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = np.array(self._tokenizer.encode_batch_fast([gap + gap.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            cuts = np.searchsorted(np.cumsum(self._bytes[ids]), ends, "left") + 1
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            out += [data[i:j] for i, j in zip([0, *cuts], cuts)]
-        return out
-
-    def _known(self, words: list[str]) -> dict[str, bytes]:
-        """Those of the words that are kept already, with their ids."""
-        at = pc.index_in(pa.array(words, pa.string()), value_set=self._parts)
-        rows = at.drop_null().to_numpy()
-        ends = self._ends[rows]
-        begins = np.where(rows > 0, self._ends[rows - 1], 0)
-        names = [w for w, there in zip(words, at.is_valid().to_pylist()) if there]
-        return {w: self._data[i:j].tobytes() for w, i, j in zip(names, begins.tolist(), ends.tolist())}
-
-    def _learn(self, new: list[str]) -> None:
-        """Append parts that aren't kept yet, in this order."""
-        found: dict[str, bytes] = {}
-        shapes, whole, bare = [], set(), set()
-        for part in new:
-            shape = _SHAPE.fullmatch(part)
-            if shape and shape.end(1) < len(part):
-                shapes.append((part, shape := shape.groups()))
-                whole.add(shape[0])
-                bare.update(x for x in (shape[1], shape[3], shape[4]) if x and x not in self._bare)
-            else:
-                whole.add(part)
-        heads = list(whole.difference(new))
-        found |= self._known(heads)
-        more = [w for w in heads if w not in found]
-        fresh = [w for w in new if w in whole] + more
-        found |= zip(fresh, self._joined(fresh, " "))
-        # A line break is a piece of its own before these, and one id.
-        bare_list = list(bare)
-        self._bare.update(zip(bare_list, (ids[4:] for ids in self._joined(bare_list, "\n"))))
-        tail = self._bare
-        for part, (word, mark, line, second, last) in shapes:
-            ids = found[word]
-            if mark:
-                ids += tail[mark]
-            if line:
-                ids += self._line
-            if second:
-                ids += tail[second]
-            if last:
-                ids += tail[last]
-            found[part] = ids
-        new = new + more
-        ids = [found[w] for w in new]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self._ends = np.concatenate([self._ends, np.cumsum(sizes) + len(self._data)])
-        self._data = np.concatenate([self._data, np.frombuffer(b"".join(ids), dtype="<u4")])
-        self._parts = pa.concat_arrays([self._parts, pa.array(new, pa.string())])
+        ids, ends, before = [self._data], [self._ends], len(self._data)
+        for at in range(0, len(new), 1000):
+            some = new.slice(at, 1000)
+            text = " " + " ".join(some.to_pylist())
+            found = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            bytes_to = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + 1)
+            cuts = np.searchsorted(np.cumsum(self._bytes[found]), bytes_to, "left") + 1
+            ids.append(found)
+            ends.append(cuts + before)
+            before += len(found)
+        self._data, self._ends = np.concatenate(ids), np.concatenate(ends)
+        self._parts = pa.concat_arrays([self._parts, new])
 
     def _rows_of(self, parts: pa.Array) -> np.ndarray:
         """The row of each part in the columns; parts that are new are learnt."""
-        if self._parts.nbytes + self._data.nbytes + self._ends.nbytes > self._most or len(self._bare) > 200_000:
+        if self._parts.nbytes + self._data.nbytes + self._ends.nbytes > self._most:
             self._forget()
         at = pc.index_in(parts, value_set=self._parts)
         rows = at.fill_null(-1).to_numpy().astype(np.int64)
         if at.null_count:
             coded = pc.dictionary_encode(parts.filter(at.is_null()))
             rows[rows < 0] = len(self._parts) + coded.indices.to_numpy()
-            self._learn(coded.dictionary.to_pylist())
+            self._learn(coded.dictionary)
         return rows
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
