@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, htmltext, langid, packing, records, simhash, substring, toxicity
+from . import ann, common, htmltext, langid, packing, records, simhash, substring, toxicity
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=[held_out])
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_toxicity": op5_toxicity,
+        "op7_nearest_vectors": op7_nearest_vectors,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_main_text": op9_main_text,
         "op10_substring_dedup": op10_substring_dedup,
