@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, htmltext, langid, packing, records, simhash, substring, toxicity
+from . import ann, common, htmltext, langid, packing, pii, records, simhash, substring, toxicity
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=[held_out])
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_spans(docs, *pii.fit(docs)))
+
+
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(common.table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_toxicity": op5_toxicity,
+        "op6_personal_data": op6_personal_data,
         "op7_nearest_vectors": op7_nearest_vectors,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_main_text": op9_main_text,
