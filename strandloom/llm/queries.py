@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, htmltext, langid, packing, pii, records, simhash, substring, toxicity
+from . import ann, common, decontam, htmltext, langid, packing, pii, records, simhash, substring, toxicity
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, keep=[F.col("held_out")])
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), radius=3, words_per_shingle=3)
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
         "op2_language_id": op2_language_id,
+        "op3_decontamination": op3_decontamination,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_toxicity": op5_toxicity,
         "op6_personal_data": op6_personal_data,
