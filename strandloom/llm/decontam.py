@@ -107,11 +107,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
         found = found.select("doc_id", *(f"s{s}" for s in sizes), "hit.shingle", "hit.at", "hit.size").join(F.broadcast(keys), ["shingle", "size"])
     else:
         rows = rows.withColumn("row", F.xxhash64("doc_id", "h"))
-        each = [rows.select("row", F.lit(s).alias("size"), F.posexplode(f"s{s}").alias("at", "shingle")) for s in sizes]
+        each = [rows.select("row", F.lit(s).alias("size"), F.posexplode_outer(f"s{s}").alias("at", "shingle")) for s in sizes]
         spread = each[0]
         for more in each[1:]:
             spread = spread.union(more)
-        seeds = spread.join(keys, ["shingle", "size"]).select("row", "item_id", "n", "size", "at", "place").distinct()
+        seeds = spread.where("shingle is not null").join(keys, ["shingle", "size"]).select("row", "item_id", "n", "size", "at", "place").distinct()
         found = rows.join(seeds, "row")
     start = F.greatest(F.col("at") - F.col("place"), F.lit(0))
     width = F.col("n") - F.col("size") + 1

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
@@ -213,7 +214,6 @@ def predict(docs: DataFrame, profiles: Profiles, id_column: str = "doc_id", text
     text if nothing was learnt.  Repeated ids keep their rows.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *(keep or []), F.col(text_column).cast("string").alias("__text"))
-    schema = [f for f in rows.schema.fields if f.name != "__text"]
-    names = [f.name for f in schema] + ["lang_pred", "score"]
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInArrow(_predict(profiles, len(names) - 2, names), f"{typed}, lang_pred string, score double")
+    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(profiles, len(fields), schema.names), schema)

@@ -25,8 +25,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, components
 
@@ -54,8 +55,9 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 def _fingerprints(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            *kept, texts = batch.columns
+            found = [fingerprint(t.as_py(), words_per_shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
@@ -225,20 +227,23 @@ def near_links(prints: DataFrame, radius: int = 3, node_rows: int = 2048) -> Dat
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", node_rows: int = 2048) -> DataFrame:
-    """A row per document: doc_id, fingerprint (16 hex digits), component_id.
+def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", node_rows: int = 2048, keep: list[Column] | None = None) -> DataFrame:
+    """A row per document: doc_id, fingerprint (16 hex digits), component_id,
+    group_print (the fingerprint that names the group), and the columns of keep.
 
     component_id is the smallest doc_id of the group, the document's own where
     it is alone.  A null or blank text has fingerprint zero and links like any
     other.  Repeated doc_ids keep their rows; a null doc_id stays null and
     never names a group (a group of such rows alone has a null component_id).
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    prints = common.stored(rows.mapInArrow(_fingerprints(words_per_shingle), "doc_id long, fp long"), "prints")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *(keep or []), F.col(text_column).cast("string").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    prints = common.stored(rows.mapInArrow(_fingerprints(words_per_shingle), schema), "prints")
     distinct = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     roots = components.connected_components(near_links(distinct.select("fp"), radius, node_rows))
     roots = common.stored(roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "first_id"), "roots")
     least = roots.groupBy("root").agg(F.min("first_id").alias("least"))
-    groups = roots.join(least, "root").select("fp", "least")
-    groups = distinct.join(groups, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = roots.join(least, "root").select("fp", "root", "least")
+    groups = distinct.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first_id").alias("component_id"))
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return prints.join(groups, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("group_print"), *schema.names[1:-1])

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _GAP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -296,7 +297,6 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *(keep or []), F.col(text_column).cast("string").alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    own = "score double, predicted int, neighbours array<long>, cosines array<double>"
-    names = [f.name for f in fields] + ["score", "predicted", "neighbours", "cosines"]
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(_scored(model, len(fields), names), f"{typed}, {own}")
+    own = T._parse_datatype_string("score double, predicted int, neighbours array<long>, cosines array<double>")
+    schema = T.StructType([*fields, *own.fields])
+    return rows.mapInArrow(_scored(model, len(fields), schema.names), schema)
