@@ -1,0 +1,5 @@
+"""K-mer analytics on Spark."""
+
+from .params import CountParams
+
+__all__ = ["CountParams"]

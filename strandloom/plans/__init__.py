@@ -1,0 +1,3 @@
+from .commands import count, dump, histo
+
+__all__ = ["count", "dump", "histo"]

@@ -1,0 +1,21 @@
+"""K-mer counts of a stream of reads.
+
+Windows of different reads are independent, so the batch chain runs on a stream
+as it is.  Counts are raw (mode complete or update); filter and clamp belong
+behind the sink, since a later batch may still lift a k-mer into the range.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import raw_counts
+from ..params import CountParams
+
+
+def stream_counts(reads: DataFrame, params: CountParams, column: str = "seq") -> DataFrame:
+    """kmer, count over all reads so far; reads is a streaming DataFrame."""
+    return raw_counts(reads, params, column)
+
+
+__all__ = ["stream_counts"]
