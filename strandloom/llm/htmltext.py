@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)(?:>|(?=<)|\Z)|(?P<bad>/?[a-zA-Z][^>]*(?:>|\Z)))"
+    r"(?P<attrs>(?:[^>\"'<]++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)(?:>|(?=<)|\Z)|(?P<bad>/?[a-zA-Z][^>]*(?:>|\Z)))"
 )
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
