@@ -137,7 +137,8 @@ class FingerprintIndex:
             again = met.union(within).distinct()
             both = rows.union(old)
         self.runs.append(new)
-        return both.join(again, "hash", "left_semi")
+        # Written, since compacting drops the runs that it is made of.
+        return common.stored(both.join(again, "hash", "left_semi"), "suspects")
 
     def compact(self) -> None:
         """Merge the runs into one.  Old runs go once the new one stands."""
