@@ -129,7 +129,24 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-SMALL = 16
+SMALL = 128
+
+
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each end to the first of its component, in place of all links."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            moved = label != np.arange(len(ends))
+            return ends[label[moved]], ends[moved]
+        label = new
 
 
 def _link_groups(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +160,14 @@ def _link_groups(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
             break
         near = (group[step:] == group[:-step]) & small[step:]
         near &= np.bitwise_count(prints[step:] ^ prints[:-step]) <= radius
+        if not near.any() and (step > sizes[sizes <= SMALL].max(initial=0)):
+            break
         hits = np.flatnonzero(near)
-        left.append(prints[hits])
-        right.append(prints[hits + step])
+        left.append(hits)
+        right.append(hits + step)
+    if left:
+        a, b = _star(np.concatenate(left), np.concatenate(right))
+        left, right = [prints[a]], [prints[b]]
     for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         part = prints[start : start + size]
         if links := forest(part, radius):
@@ -247,3 +269,60 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     groups = distinct.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first_id").alias("component_id"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return prints.join(groups, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("group_print"), *schema.names[1:-1])
+
+
+def _shingle_sets(words_per_shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                words = text.as_py().encode().lower().split()
+                n = min(words_per_shingle, len(words))
+                shingles = map(b" ".join, zip(*(words[i:] for i in range(n)))) if n else ()
+                sets.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "shingles"])
+
+    return run
+
+
+def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 8, words_per_print_shingle: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """A row per distinct text: text_key (md5, binary), first_id (its smallest doc_id, null
+    if it has none), leader_key: null where the text stays, else the key of the text it copies.
+
+    A text copies another if their sets of five-word shingles have a Jaccard
+    similarity of at least `similarity` (texts without words are alike).
+    Fingerprints over word pairs, which a few changed words hardly move, propose:
+    the components within the radius are taken, the text of the smallest doc_id
+    leads each, the others are measured against it, and those that are no copies
+    of it go through the same steps again without it.  No group is compared
+    with itself pair by pair, and every round is written.  Null texts count as empty.
+    """
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    prints = rows.mapInArrow(_fingerprints(words_per_print_shingle), schema)
+    units = common.stored(prints.groupBy("text_key", "fp").agg(F.min("doc_id").alias("first_id")), "units")
+    active, sets, copies = units, None, None
+    while True:
+        roots = components.connected_components(near_links(active.select("fp").distinct(), radius))
+        grouped = active.join(roots, active.fp == roots.node, "left").select("text_key", "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        order = F.struct(F.col("first_id").isNull(), "first_id", "text_key")
+        leads = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min_by("text_key", order).alias("leader_key")).where("n > 1").drop("n")
+        members = common.stored(grouped.join(leads, "root").drop("root"), "members")
+        if sets is None:
+            one = members.select("text_key", F.col("first_id").alias("doc_id"))
+            chosen = rows.join(one, (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
+            sets = chosen.select("text_key", "__text").mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
+            sets = common.stored(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
+        own = members.where("text_key <> leader_key").join(sets, "text_key")
+        pairs = own.join(sets.select(F.col("text_key").alias("leader_key"), F.col("shingles").alias("lead")), "leader_key")
+        shared = F.size(F.array_intersect("shingles", "lead"))
+        united = F.size("shingles") + F.size("lead") - shared
+        alike = F.when(united == 0, F.lit(True)).otherwise(shared / united >= similarity)
+        judged = common.stored(pairs.select("text_key", "fp", "first_id", "leader_key", alike.alias("alike")), "judged")
+        found = judged.where("alike").select("text_key", "leader_key")
+        copies = found if copies is None else copies.union(found)
+        active = judged.where("not alike").select("text_key", "fp", "first_id")
+        if active.limit(2).count() < 2:
+            break
+    return units.join(copies, "text_key", "left").select("text_key", "first_id", "leader_key")
