@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, htmltext, langid, packing, pii, records, simhash, substring, toxicity
+from . import ann, common, decontam, htmltext, langid, oracles, packing, pii, records, simhash, substring, toxicity
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the query; tests/llm holds the others against plain versions."""
+    return {"op3_decontamination": oracles.DECONTAMINATION, "op10_substring_dedup": oracles.SUBSTRING}
