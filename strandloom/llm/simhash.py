@@ -271,6 +271,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     return prints.join(groups, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("group_print"), *schema.names[1:-1])
 
 
+def _turned(turn: int):
+    return lambda x: F.xxhash64(x, F.lit(turn))
+
+
 def _shingle_sets(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,44 +289,46 @@ def _shingle_sets(words_per_shingle: int):
     return run
 
 
-def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 8, words_per_print_shingle: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 8, words_per_print_shingle: int = 2, rounds: int = 6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per distinct text: text_key (md5, binary), first_id (its smallest doc_id, null
-    if it has none), leader_key: null where the text stays, else the key of the text it copies.
+    if it has none), leader_key: null where the text stays, else the key of a text it copies.
 
     A text copies another if their sets of five-word shingles have a Jaccard
     similarity of at least `similarity` (texts without words are alike).
     Fingerprints over word pairs, which a few changed words hardly move, propose:
-    the components within the radius are taken, the text of the smallest doc_id
-    leads each, the others are measured against it, and those that are no copies
-    of it go through the same steps again without it.  No group is compared
-    with itself pair by pair, and every round is written.  Null texts count as empty.
+    texts are compared within the components of links within the radius.  There
+    the text of the smallest doc_id leads and the others are measured against it;
+    then the same within the texts that share a min-hash of their shingles, with
+    another hash in each of `rounds` rounds.  Texts of similarity s share one with
+    probability s, so at 0.8 a pair never meets in 0.2 ** rounds of the cases.
+    No group is compared pair by pair, and every round is written.  A leader may
+    copy another in a later round; one text of each chain stays.  Null texts count as empty.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
     prints = rows.mapInArrow(_fingerprints(words_per_print_shingle), schema)
     units = common.stored(prints.groupBy("text_key", "fp").agg(F.min("doc_id").alias("first_id")), "units")
-    active, sets, copies = units, None, None
-    while True:
-        roots = components.connected_components(near_links(active.select("fp").distinct(), radius))
-        grouped = active.join(roots, active.fp == roots.node, "left").select("text_key", "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-        order = F.struct(F.col("first_id").isNull(), "first_id", "text_key")
-        leads = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min_by("text_key", order).alias("leader_key")).where("n > 1").drop("n")
-        members = common.stored(grouped.join(leads, "root").drop("root"), "members")
-        if sets is None:
-            one = members.select("text_key", F.col("first_id").alias("doc_id"))
-            chosen = rows.join(one, (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
-            sets = chosen.select("text_key", "__text").mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
-            sets = common.stored(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
-        own = members.where("text_key <> leader_key").join(sets, "text_key")
-        pairs = own.join(sets.select(F.col("text_key").alias("leader_key"), F.col("shingles").alias("lead")), "leader_key")
+    roots = components.connected_components(near_links(units.select("fp").distinct(), radius))
+    grouped = units.join(roots, units.fp == roots.node, "left").select("text_key", "first_id", F.coalesce("root", "fp").alias("root"))
+    several = grouped.groupBy("root").count().where("count > 1").select("root")
+    grouped = common.stored(grouped.join(several, "root", "left_semi"), "proposed")
+    one = grouped.select("text_key", F.col("first_id").alias("doc_id"))
+    chosen = rows.join(one, (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
+    sets = chosen.select("text_key", "__text").mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
+    members = common.stored(grouped.join(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "text_key"), "members")
+    order = F.struct(F.col("first_id").isNull(), "first_id", "text_key")
+    active, copies = members, None
+    for turn in range(rounds + 1):
+        least = F.coalesce(F.array_min(F.transform("shingles", _turned(turn))), F.lit(0).cast("long")) if turn else F.lit(0).cast("long")
+        keyed = active.withColumn("least", least)
+        lead = F.min_by(F.struct(F.col("text_key").alias("leader_key"), F.col("shingles").alias("lead")), order).alias("by")
+        leads = keyed.groupBy("root", "least").agg(F.count("*").alias("n"), lead).where("n > 1").select("root", "least", "by.*")
+        pairs = keyed.join(leads, ["root", "least"]).where("text_key <> leader_key")
         shared = F.size(F.array_intersect("shingles", "lead"))
         united = F.size("shingles") + F.size("lead") - shared
-        alike = F.when(united == 0, F.lit(True)).otherwise(shared / united >= similarity)
-        judged = common.stored(pairs.select("text_key", "fp", "first_id", "leader_key", alike.alias("alike")), "judged")
-        found = judged.where("alike").select("text_key", "leader_key")
+        alike = pairs.where(F.when(united == 0, F.lit(True)).otherwise(shared / united >= similarity))
+        found = common.stored(alike.select("text_key", "leader_key"), "copies")
         copies = found if copies is None else copies.union(found)
-        active = judged.where("not alike").select("text_key", "fp", "first_id")
-        if active.limit(2).count() < 2:
-            break
+        active = members.join(copies, "text_key", "left_anti")
     return units.join(copies, "text_key", "left").select("text_key", "first_id", "leader_key")
