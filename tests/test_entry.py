@@ -31,3 +31,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith("strandloom.llm")] + ["strandloom.llm", "strandloom.llm.queries", "corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.delattr("strandloom.llm", raising=False)
+    try:
+        alone = importlib.reload(entry)
+        assert set(alone.queries()) == set(alone.oracle_sql()) == set(reference_queries.queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
