@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch.  Texts are some kilobytes, so a batch is some megabytes.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: what a task holds outside
+    its heap, in the JVM and in Python, grows with them."""
+    now = int(spark.conf.get(_BATCH_KEY))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

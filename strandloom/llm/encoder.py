@@ -45,7 +45,7 @@ class Encoder:
     changes the time and nothing else.
     """
 
-    def __init__(self, path: str, most_bytes: int = 72 << 20):
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,7 +120,7 @@ class Encoder:
         return [heads[i] + joined[ends[spans[i][0]] : ends[spans[i][1] - 1]].tobytes() if i in spans else b"" for i in range(len(texts))]
 
 
-def slices(keys: pa.Array, texts: pa.Array, size: int = 6 << 20):
+def slices(keys: pa.Array, texts: pa.Array, size: int = 4 << 20):
     """(keys, texts) as lists, with about size bytes of text each, so that a batch of long texts stays small."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
     start = 0

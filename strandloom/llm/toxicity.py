@@ -47,7 +47,7 @@ def features_of(word: bytes) -> list[bytes]:
 class Terms:
     """Counts of the vocabulary's terms in a text; what each word stands for is remembered, within a bound."""
 
-    def __init__(self, numbers: dict[bytes, int], entries: int = 300_000):
+    def __init__(self, numbers: dict[bytes, int], entries: int = 100_000):
         self.numbers, self.entries, self._held = numbers, entries, {}
 
     def __reduce__(self):
