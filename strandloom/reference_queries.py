@@ -7,7 +7,9 @@ taken as bases.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,9 +119,21 @@ def table_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT k.kmer, count(*) AS count FROM strandloom_reads, LATERAL kmers(seq, 5) AS k GROUP BY k.kmer")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir,
+    or a temporary one where that is unset and the master is local."""
+    if shared := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        path = f"{shared.removeprefix('file://').rstrip('/')}/strandloom-{uuid.uuid4().hex}"
+        os.makedirs(path)
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="strandloom-")
+
+
 def _files(spark: SparkSession, reads: DataFrame, fastq: bool) -> str:
     """Each row as a record of text files."""
-    folder = tempfile.mkdtemp(prefix="strandloom-fastx-")
+    folder = _folder(spark)
     line = F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), "seq") if fastq else F.concat(F.lit(">r\n"), F.substring("seq", 1, 10), F.lit("\n"), F.substring("seq", 11, 99))
     reads.select(line.alias("value")).write.mode("overwrite").text(f"file://{folder}/reads")
     return f"{folder}/reads"
@@ -140,7 +154,7 @@ def fastq_parse(spark: SparkSession, d: str) -> DataFrame:
 def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from .sources import read_result, write_result
 
-    path = f"{tempfile.mkdtemp(prefix='strandloom-bin-')}/result"
+    path = f"{_folder(spark)}/result"
     p = CountParams(7, filter_min=2)
     write_result(_kept(7, filter_min=2)(spark, d), path, p)
     return read_result(spark, path)
