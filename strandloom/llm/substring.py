@@ -213,7 +213,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"strandloom_{uuid.uuid4().hex}", common.scratch_path(spark, "texts")
     distinct = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    distinct.repartition(parts, "text_key").write.bucketBy(parts, "text_key").option("path", path).saveAsTable(name)
+    # The aggregation has dealt the rows out by the key already, into as many parts as there are buckets.
+    distinct.write.bucketBy(parts, "text_key").option("path", path).saveAsTable(name)
     texts = spark.table(name)
 
     index = FingerprintIndex(spark)
