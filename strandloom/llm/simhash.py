@@ -19,6 +19,7 @@ reports a spanning forest of its links instead of all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -275,20 +276,146 @@ def _turned(turn: int):
     return lambda x: F.xxhash64(x, F.lit(turn))
 
 
+def _shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
+    words = text.encode().lower().split()
+    n = min(words_per_shingle, len(words))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(n)))) if n else ()
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles), np.uint64))
+
+
 def _shingle_sets(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in batch.column(1):
-                words = text.as_py().encode().lower().split()
-                n = min(words_per_shingle, len(words))
-                shingles = map(b" ".join, zip(*(words[i:] for i in range(n)))) if n else ()
-                sets.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles), np.uint64)).view(np.int64))
+            sets = [_shingle_set(text.as_py(), words_per_shingle).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "shingles"])
 
     return run
 
 
+def _prefixes(words_per_shingle: int, similarity: float, common_last: np.ndarray):
+    """The number of shingles of each text, and its first ones in an order that all texts share:
+    by hash, those of common_last (ascending frequency) behind the others.  Two sets of the
+    similarity can't differ in all of so many."""
+    by_hash = np.argsort(common_last)
+    listed = common_last[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, firsts = [], []
+            for text in batch.column(1):
+                shingles = _shingle_set(text.as_py(), words_per_shingle)
+                n = len(shingles)
+                if n and len(listed):
+                    at = np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)
+                    rank = np.where(listed[at] == shingles, by_hash[at] + 1, 0)
+                    shingles = shingles[np.argsort(rank, kind="stable")]
+                sizes.append(n)
+                # Texts without a word are alike, and meet under 0.
+                firsts.append((shingles[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)).view(np.int64))
+            arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["text_key", "n", "firsts"])
+
+    return run
+
+
+def _met(similarity: float, flush_rows: int = 1 << 16):
+    """Pairs within runs of equal shingle (and tile), less those whose sizes and places rule the similarity out.
+    Rows come sorted by shingle, part, other."""
+    share = similarity / (1 + similarity)
+
+    def may(n, at, m, other_at):
+        # At the first shingle that two prefixes share, no more than the shorter rest can be shared too.
+        return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - other_at) >= share * (n + m) - 1e-9)
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        *node, ids, sizes, places = columns
+        change = np.zeros(len(ids), bool)
+        for c in node:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(change)]
+        runs = np.diff(np.r_[starts, len(ids)])
+        sizes, places = sizes.astype(np.int64), places.astype(np.int64)
+        left, right, held = [], [], 0
+        small = np.repeat(runs <= SMALL, runs)
+        group = np.cumsum(change)
+        for step in range(1, int(runs[runs <= SMALL].max(initial=0))):
+            hits = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
+            hits = hits[may(sizes[hits], places[hits], sizes[hits + step], places[hits + step])]
+            left.append(ids[hits])
+            right.append(ids[hits + step])
+        for start, size in zip(starts[runs > SMALL].tolist(), runs[runs > SMALL].tolist()):
+            for at in range(start, start + size - 1):
+                rest = slice(at + 1, start + size)
+                hits = at + 1 + np.flatnonzero(may(sizes[at], places[at], sizes[rest], places[rest]))
+                left.append(np.full(len(hits), ids[at]))
+                right.append(ids[hits])
+                held += len(hits)
+                if held >= flush_rows:
+                    yield batch_of(left, right)
+                    left, right, held = [], [], 0
+        yield batch_of(left, right)
+
+    def batch_of(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        both = both[:, both[0] != both[1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if len(held[0]) >= flush_rows:
+                last = np.ones(len(held[0]), bool)
+                for c in held[:3]:
+                    last &= c == c[-1]
+                if cut := int(np.argmax(last)):
+                    yield from pairs([c[:cut] for c in held])
+                    held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    return run
+
+
+def _candidates(rows: DataFrame, active: DataFrame, similarity: float, words_per_shingle: int, node_rows: int = 2048, sample_rows: int = 20_000, most_common: int = 20_000) -> DataFrame:
+    """Pairs a, b of active texts (64 bits of their keys, a < b) that hold every pair of the similarity.
+
+    Samples say only which shingles to put last and which groups to deal out in
+    tiles; whatever they say, no pair is lost.
+    """
+    sets = active.select("text_key").agg(F.count("*")).first()[0]
+    some = F.pmod(F.xxhash64("text_key"), F.lit(max(1, sets // sample_rows))) == 0
+    seen = rows.where(some).select("text_key", "__text").dropDuplicates(["text_key"]).mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
+    seen = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
+    often = seen.orderBy(F.desc("count"), "shingle").limit(most_common).collect()
+    common_last = np.array([r.shingle for r in reversed(often)], np.int64).view(np.uint64)
+
+    firsts = rows.select("text_key", "__text").mapInArrow(_prefixes(words_per_shingle, similarity, common_last), "text_key binary, n int, firsts array<long>")
+    firsts = firsts.groupBy("text_key").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    firsts = common.stored(firsts.join(active.select("text_key"), "text_key", "left_semi").select(_text_id("text_key").alias("id"), "n", "firsts"), "prefixes")
+    postings = firsts.select("id", "n", F.posexplode("firsts").alias("at", "shingle"))
+    scale = max(1, sets // sample_rows)
+    crowded = postings.where(F.pmod("id", F.lit(scale)) == 0).groupBy("shingle").count().where(F.col("count") * scale > node_rows)
+    crowded = F.broadcast(crowded.select("shingle", (F.ceil(F.col("count") * scale / node_rows) + 1).cast("int").alias("parts")))
+    postings = postings.join(crowded, "shingle", "left")
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != mine)
+    tiles = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("other")))).otherwise(
+        F.transform(others, lambda j: F.struct(F.least(mine, j).alias("part"), F.greatest(mine, j).alias("other")))
+    )
+    postings = postings.withColumn("tile", F.explode(tiles)).select("shingle", "tile.part", "tile.other", "id", "n", "at")
+    dealt = postings.repartition("shingle", "part", "other").sortWithinPartitions("shingle", "part", "other")
+    return common.stored(dealt.mapInArrow(_met(similarity), "a long, b long").distinct(), "candidates")
+
+
+def _text_id(text_key: str) -> Column:
+    """The first 64 bits of a text's md5."""
+    return F.conv(F.hex(F.substring(text_key, 1, 8)), 16, -10).cast("long")
+
+
 def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 8, words_per_print_shingle: int = 2, rounds: int = 6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per distinct text: text_key (md5, binary), first_id (its smallest doc_id, null
     if it has none), leader_key: null where the text stays, else the key of a text it copies.
@@ -301,8 +428,12 @@ def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     then the same within the texts that share a min-hash of their shingles, with
     another hash in each of `rounds` rounds.  Texts of similarity s share one with
     probability s, so at 0.8 a pair never meets in 0.2 ** rounds of the cases.
-    No group is compared pair by pair, and every round is written.  A leader may
-    copy another in a later round; one text of each chain stays.  Null texts count as empty.
+    These rounds only thin out large groups cheaply.  What they leave goes through
+    a join that loses no pair, over all texts whatever their fingerprints: texts that
+    share one of their first shingles (the prefix that the similarity fixes) are
+    measured, and of two that are alike the later one goes.  So no two texts that
+    stay are alike.  Every step is written.  A leader may copy another in a later
+    step; one text of each chain stays.  Null texts count as empty.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("__text"))
@@ -313,11 +444,21 @@ def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     grouped = units.join(roots, units.fp == roots.node, "left").select("text_key", "first_id", F.coalesce("root", "fp").alias("root"))
     several = grouped.groupBy("root").count().where("count > 1").select("root")
     grouped = common.stored(grouped.join(several, "root", "left_semi"), "proposed")
-    one = grouped.select("text_key", F.col("first_id").alias("doc_id"))
-    chosen = rows.join(one, (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
-    sets = chosen.select("text_key", "__text").mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
-    members = common.stored(grouped.join(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "text_key"), "members")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        one = wanted.select("text_key", F.col("first_id").alias("doc_id"))
+        chosen = rows.join(one, (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
+        sets = chosen.select("text_key", "__text").mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
+        return wanted.join(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "text_key")
+
+    members = common.stored(sets_of(grouped), "members")
     order = F.struct(F.col("first_id").isNull(), "first_id", "text_key")
+
+    def similar(a: str, b: str) -> Column:
+        shared = F.size(F.array_intersect(a, b))
+        united = F.size(a) + F.size(b) - shared
+        return F.when(united == 0, F.lit(True)).otherwise(shared / united >= similarity)
+
     active, copies = members, None
     for turn in range(rounds + 1):
         least = F.coalesce(F.array_min(F.transform("shingles", _turned(turn))), F.lit(0).cast("long")) if turn else F.lit(0).cast("long")
@@ -325,10 +466,18 @@ def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
         lead = F.min_by(F.struct(F.col("text_key").alias("leader_key"), F.col("shingles").alias("lead")), order).alias("by")
         leads = keyed.groupBy("root", "least").agg(F.count("*").alias("n"), lead).where("n > 1").select("root", "least", "by.*")
         pairs = keyed.join(leads, ["root", "least"]).where("text_key <> leader_key")
-        shared = F.size(F.array_intersect("shingles", "lead"))
-        united = F.size("shingles") + F.size("lead") - shared
-        alike = pairs.where(F.when(united == 0, F.lit(True)).otherwise(shared / united >= similarity))
+        alike = pairs.where(similar("shingles", "lead"))
         found = common.stored(alike.select("text_key", "leader_key"), "copies")
         copies = found if copies is None else copies.union(found)
         active = members.join(copies, "text_key", "left_anti")
-    return units.join(copies, "text_key", "left").select("text_key", "first_id", "leader_key")
+    left = units.join(copies, "text_key", "left_anti")
+    met = _candidates(rows, left, similarity, words_per_shingle)
+    ends = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    wanted = left.select("text_key", "first_id", _text_id("text_key").alias("id")).join(ends, "id", "left_semi")
+    measured = common.stored(sets_of(wanted).select("id", order.alias("order"), "shingles"), "measured")
+    one, two = (measured.select(F.col("id").alias(c), F.col("order").alias(f"{c}_order"), F.col("shingles").alias(f"{c}_shingles")) for c in "ab")
+    alike = met.join(one, "a").join(two, "b").where(similar("a_shingles", "b_shingles"))
+    alike = alike.select(F.greatest("a_order", "b_order").alias("later"), F.least("a_order", "b_order").alias("earlier"))
+    alike = alike.groupBy("later").agg(F.min("earlier").alias("earlier"))
+    found = common.stored(alike.select("later.text_key", F.col("earlier.text_key").alias("leader_key")), "copies")
+    return units.join(copies.union(found), "text_key", "left").select("text_key", "first_id", "leader_key")

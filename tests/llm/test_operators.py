@@ -268,6 +268,57 @@ def test_similar_copies(spark):
     assert simhash.similar_copies(documents(spark).limit(0)).count() == 0
 
 
+def staying(spark, docs, **how):
+    return {r.first_id for r in simhash.similar_copies(documents(spark, docs), **how).collect() if r.leader_key is None}
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_copies_behind_a_less_similar_leader(spark):
+    # One fingerprint group, led in every bucket by texts that neither copy is measured equal to.
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def but(*places):
+        return " ".join(f"x{i}" if i in places else w for i, w in enumerate(base))
+
+    docs = [(i, but(*range(3 + i, 200, 10))) for i in range(8)] + [(50, but(50)), (51, but(150))]
+    assert all(jaccard(a, b) < 0.8 for a, b in itertools.combinations([t for _, t in docs[:9]], 2))
+    assert jaccard(docs[8][1], docs[9][1]) > 0.8
+    assert staying(spark, docs, radius=24) == {*range(8), 50}
+
+
+def test_cut_and_lengthened_copies(spark):
+    rng = random.Random(22)
+    docs, expected = [], set()
+    for i in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 200, 600]))]
+        keep = rng.choice([0.81, 0.85, 0.9, 0.78])
+        whole, cut = " ".join(words), " ".join(words[: int((len(words) - 4) * keep) + 5])
+        docs += [(2 * i, whole), (2 * i + 1, cut)] if i % 2 else [(2 * i, cut), (2 * i + 1, whole)]
+        expected |= {2 * i} | ({2 * i + 1} if jaccard(whole, cut) < 0.8 else set())
+    assert 140 < len(expected) < 165
+    assert staying(spark, docs) == expected
+
+
+@pytest.mark.parametrize("node_rows", [4, 2048])
+def test_candidates_lose_no_pair(spark, node_rows):
+    rng = random.Random(23)
+    pools = [[f"{p}{i}" for i in range(12)] for p in "abc"]
+    docs = {" ".join(rng.choice(pools)[: rng.randint(1, 12)] + rng.choice(pools)[: rng.randint(0, 12)]) for _ in range(150)}
+    docs = [(i, t) for i, t in enumerate(sorted(docs))]
+    rows = documents(spark, docs).select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.col("text").alias("__text"))
+    made = {(r.a, r.b) for r in simhash._candidates(rows, rows, 0.8, 5, node_rows, 40).collect()}
+    sets = [set(simhash._shingle_set(t, 5).tolist()) for _, t in docs]
+    names = [int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big", signed=True) for _, t in docs]
+    pairs = itertools.combinations(range(len(docs)), 2)
+    alike = {tuple(sorted((names[i], names[j]))) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 25 and alike <= made and len(made) < len(docs) * (len(docs) - 1) / 4
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)]
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
