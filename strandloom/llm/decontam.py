@@ -76,24 +76,26 @@ def _items(benchmark: DataFrame, radius: int, id_column: str, text_column: str)
     return rows.select("item_id", "n", "size", "item_shingles", "item_print", blocks(F.col("item_print"), radius).alias("item_blocks"))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24, most_literals: int = 50_000, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """A row per document and item that it contains: doc_id, item_id, similarity, start (word), n_words.
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24, most_literals: int = 50_000, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", keep: list[Column] | None = None) -> DataFrame:
+    """A row per document and item that it contains: doc_id, item_id, similarity, start (word), n_words, and
+    the columns of keep.
 
     The most similar window counts, the first of equals.  Null and empty texts
     and items without a word never match; items shorter than a shingle match
     where their words stand in a row.  Rows that share a doc_id (or have none)
-    are reported together.
+    are reported together, unless the columns of keep tell them apart.
     """
     items = _items(benchmark, radius, item_column, item_text_column)
     keys = items.select("item_id", "n", "size", F.posexplode("item_shingles").alias("place", "shingle"))
     totals = keys.agg(F.count("*"), F.collect_set("size")).first()  # at most five sizes
     sizes = sorted(totals[1])
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.select("doc_id", _hashed(F.col("text")).alias("h"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *(keep or []), F.col(text_column).cast("string").alias("text"))
+    kept = rows.columns[1:-1]
+    rows = rows.select("doc_id", *kept, _hashed(F.col("text")).alias("h"))
     for size in sizes:
         rows = rows.withColumn(f"s{size}", _shingles("h", size))
     if not sizes:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words")).limit(0)
+        return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), *kept).limit(0)
 
     if totals[0] <= most_literals:
         hits = []
@@ -102,9 +104,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             literals = ",".join(f"{r[0]}L" if r[0] > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in listed)
             hits.append(F.expr(f"filter(transform(s{size}, (x, i) -> struct(x AS shingle, i AS at, {size} AS size)), e -> e.shingle IN ({literals}))"))
         # The outer form keeps the generator from repeating its argument in a filter below.
-        found = rows.select("doc_id", *(f"s{s}" for s in sizes), F.concat(*hits).alias("hits"))
+        found = rows.select("doc_id", *kept, *(f"s{s}" for s in sizes), F.concat(*hits).alias("hits"))
         found = found.withColumn("hit", F.explode_outer("hits")).drop("hits").where("hit is not null")
-        found = found.select("doc_id", *(f"s{s}" for s in sizes), "hit.shingle", "hit.at", "hit.size").join(F.broadcast(keys), ["shingle", "size"])
+        found = found.select("doc_id", *kept, *(f"s{s}" for s in sizes), "hit.shingle", "hit.at", "hit.size").join(F.broadcast(keys), ["shingle", "size"])
     else:
         rows = rows.withColumn("row", F.xxhash64("doc_id", "h"))
         each = [rows.select("row", F.lit(s).alias("size"), F.posexplode_outer(f"s{s}").alias("at", "shingle")) for s in sizes]
@@ -116,14 +118,14 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     start = F.greatest(F.col("at") - F.col("place"), F.lit(0))
     width = F.col("n") - F.col("size") + 1
     cut = F.coalesce(*(F.when(F.col("size") == s, F.slice(F.col(f"s{s}"), F.col("start") + 1, width)) for s in sizes))
-    found = found.withColumn("start", start).select("doc_id", "item_id", "start", cut.alias("window"))
+    found = found.withColumn("start", start).select("doc_id", *kept, "item_id", "start", cut.alias("window"))
     # Seeds of one passage agree on the window.
-    found = found.groupBy("doc_id", "item_id", "start", "window").agg(F.lit(1).alias("one")).drop("one")
+    found = found.groupBy("doc_id", *kept, "item_id", "start", "window").agg(F.lit(1).alias("one")).drop("one")
     found = found.withColumn("print", simhash(F.col("window"))).withColumn("blocks", blocks(F.col("print"), radius))
     small = items if totals[0] > most_literals else F.broadcast(items)
     met = found.join(small, "item_id").where(F.exists(F.zip_with("blocks", "item_blocks", lambda a, b: a == b), lambda x: x))
     met = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     met = met.withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item_shingles"))).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("best")
-    best = met.groupBy("doc_id", "item_id").agg(best)
-    return best.select("doc_id", "item_id", "best.similarity", "best.start", F.col("best.n").alias("n_words"))
+    best = met.groupBy("doc_id", *kept, "item_id").agg(best)
+    return best.select("doc_id", "item_id", "best.similarity", "best.start", F.col("best.n").alias("n_words"), *kept)

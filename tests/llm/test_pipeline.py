@@ -54,6 +54,14 @@ def test_stages(spark, folder):
     assert Counter(r.doc_id for r in pieces.where("piece = 0").collect()) == kept["personal_data"]
 
 
+def test_clean_rows_without_an_id_of_their_own_stay(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first().text
+    hit, others = prose(10) + " " + item, [prose(30) for _ in range(4)]
+    rows = [(None, hit), (None, others[0]), (None, None), (7, item), (7, others[1]), (7, others[2]), (8, others[3]), (9, hit)]
+    found = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert Counter(tuple(r) for r in found.collect()) == Counter((i, t) for i, t in rows if t is None or item not in t)
+
+
 def test_stages_on_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder).count() == 0
