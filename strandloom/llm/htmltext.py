@@ -21,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"'<]++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)(?:>|(?=<)|\Z)|(?P<bad>/?[a-zA-Z][^>]*(?:>|\Z)))"
-)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TOKEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"'<]")
+_ATTR = re.compile(r"""(?<![^\s"'=<>/])([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
@@ -64,6 +62,8 @@ def _marks(attrs: str) -> tuple[str, bool]:
     kind, apart = "", False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in ("class", "id", "role"):
+            continue
         if name == "role":
             apart |= value.strip().lower() in APART_ROLES
         else:
@@ -107,6 +107,20 @@ def blocks_of(source: str) -> list[Block]:
                 return
 
     size = len(source)
+    last = {quote: source.rfind(quote) for quote in "\"'"}
+
+    def attributes(at: int) -> tuple[str, int]:
+        """The attributes from there on, and where the tag ends: behind a > or before a < that no quotes
+        hold.  A quote that nothing closes is a character like any other."""
+        start = at
+        while stop := _STOP.search(source, at):
+            here, mark = stop.start(), stop[0]
+            if mark in last:
+                at = (source.find(mark, here + 1) if here < last[mark] else here) + 1
+            else:
+                return source[start:here], here + (mark == ">")
+        return source[start:], size
+
     while at < size:
         token = _TOKEN.search(source, at)
         if not token:
@@ -122,9 +136,8 @@ def blocks_of(source: str) -> list[Block]:
             end = source.find(">", at)
             at = end + 1 if end >= 0 else size
             continue
-        if token["bad"]:
-            continue
-        name, attrs = token["name"].lower(), token["attrs"]
+        name = token["name"].lower()
+        attrs, at = attributes(at)
         if token["close"]:
             if name == "a":
                 links = max(0, links - 1)

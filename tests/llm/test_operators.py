@@ -545,6 +545,18 @@ def test_main_text(spark):
     assert htmltext.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5_000, 1_000_000])
+def test_long_attribute_values(size):
+    value = "<p class=ad>no, no.</p> > " * (size // 26 + 1)
+    for quote in "\"'":
+        long = f"data-props={quote}{value}{quote}"
+        page = f"<article><div {long}><p>a, b.</p></div><script {long}>x > y, z.</script><div {long} class=sidebar><p>s, t.</p></div><nav {long}>n</nav><p {long}>c, d.</p></article><p>"
+        assert htmltext.extract(page) == "a, b. c, d."
+    # A quote that nothing closes ends with its tag; many of them take no more than linear time.
+    assert htmltext.extract("<article><p title=\"x>a, b.</p><p>c, d.</p></article>") == "a, b. c, d."
+    assert htmltext.extract("<article>" + "<p title='>a, b.</p>" + "<p " * (size // 3) + ">c, d.</article>") == "a, b. c, d."
+
+
 # ---- op10
 
 def plain_removal(docs, width):
