@@ -3,11 +3,12 @@
 The visible text of a page is cut into blocks, each with the path of block
 elements from the root down to it (inline markup doesn't count).  Text length
 and punctuation are added up per path, smoothed along the page, fused and held
-against a threshold, which gives the paths of content.  The element around the
-heaviest of them is the article; what belongs to it is kept whole, so that
-titles, short paragraphs and lists inside it are not lost, and what HTML itself
+against a threshold, which gives the paths of content: their blocks are kept
+wherever they stand.  The element around the heaviest of them is the article; what
+belongs to it is kept but for blocks that are mostly links, so that titles, short
+paragraphs and lists inside it are not lost, as are headings right before content.  What HTML itself
 marks as something else (menus, headers, footers, sidebars, forms, adverts,
-notices, comments) is left out.
+notices, comments) is left out first.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ APART_WORDS = set(
     "comments commentlist respond reply replies discussion disqus pagination pager toolbar skip paywall teaser".split()
 )
 CONTAINERS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: p ends where one of these begins.
 _ENDS_P = BLOCKS - {"br", "option", "select", "optgroup", "button", "label", "legend", "datalist", "output"}
 _ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -216,8 +218,18 @@ def content_blocks(blocks: list[Block], threshold: float = 0.5) -> list[Block]:
         pair = linked.setdefault(b.path, [0, 0])
         pair[0] += b.linked
         pair[1] += len(b.text.replace(" ", ""))
-    menus = {p for p, (a, n) in linked.items() if 2 * a > n} if not marked else set()
-    return [b for b in open_ if b.path[: len(home)] == home and (b.path in chosen or b.path not in menus)]
+    menus = {p for p, (a, n) in linked.items() if 2 * a > n}
+    in_home = [b.path[: len(home)] == home for b in open_]
+    keep = [b.path in chosen or near and (b.path not in menus or marked and b.tags[-1] in HEADINGS) for b, near in zip(open_, in_home)]
+    # A heading elsewhere belongs to the content that follows it below its parent.
+    follows: Block | None = None
+    for i in range(len(open_) - 1, -1, -1):
+        b = open_[i]
+        if keep[i]:
+            follows = b
+        elif follows and b.tags and b.tags[-1] in HEADINGS and b.path not in menus and follows.path[: len(b.path) - 1] == b.path[:-1]:
+            keep[i] = True
+    return [b for b, k in zip(open_, keep) if k]
 
 
 def extract(source: str | None) -> str:

@@ -545,6 +545,16 @@ def test_main_text(spark):
     assert htmltext.extract_pages(df.limit(0)).count() == 0
 
 
+def test_main_text_of_several_parents():
+    one, two = "<p>One, two. Three, four.</p>" * 3, "<p>Five, six. Seven, eight.</p>" * 2
+    text = ["One, two. Three, four."] * 3 + ["Five, six. Seven, eight."] * 2
+    page = f"<body><div class=content><h2>Title</h2><div class=intro>{one}</div><div class=more>{two}</div></div><div><a href=/>Home</a></div>"
+    assert htmltext.extract(page) == " ".join(["Title", *text])
+    assert htmltext.extract(f"<body><article class=a>{one}</article><article class=b>{two}</article>") == " ".join(text)
+    # The ratios decide inside a marked article as well.
+    assert htmltext.extract(f"<article>{one}<div class=list><a href=/>Other things</a></div></article>") == " ".join(text[:3])
+
+
 @pytest.mark.parametrize("size", [5_000, 1_000_000])
 def test_long_attribute_values(size):
     value = "<p class=ad>no, no.</p> > " * (size // 26 + 1)
