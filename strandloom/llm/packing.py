@@ -9,7 +9,8 @@ into one pattern.  Copies of one document, or a third of all rows of one
 length, are no more than one large count and are numbered in salted groups.
 
 The search is bin completion by branch and bound: around the largest remaining
-length, undominated fillings are tried in order of their waste; a branch ends
+length, fillings by any number of lengths are tried in order of their waste, the
+totals that the remaining lengths can make telling which there are; a branch ends
 when its waste so far can't beat the incumbent, which starts as best fit
 decreasing.  If the incumbent meets the lower bound, it is optimal and no
 search takes place.
@@ -99,46 +100,50 @@ def dominates(better: tuple[int, ...], worse: tuple[int, ...]) -> bool:
     return len(worse) >= len(better) and deal(0)
 
 
-def fillings(counts: np.ndarray, left: int, waste: int, width: int) -> list[tuple[int, ...]]:
-    """Up to `width` undominated fillings of `left` by at most three lengths, least
-    waste first.  counts: by length, what remains.  waste: the most that is allowed."""
-    found: list[tuple[int, ...]] = []
-
-    def add(items: tuple[int, ...]) -> bool:
-        need: dict[int, int] = {}
-        for x in items:
-            need[x] = need.get(x, 0) + 1
-        if all(counts[x] >= k for x, k in need.items()) and not any(dominates(f, items) for f in found):
-            found.append(items)
-        return len(found) >= width
-
+def fillings(counts: np.ndarray, left: int, waste: int) -> Iterator[Pattern]:
+    """All fillings of `left` that waste at most `waste`, by any number of lengths, least
+    waste first and large lengths first; such that leave room for one more are left out.
+    counts: by length, what remains."""
     there = np.flatnonzero(counts[: left + 1])
-    there = there[there > 0][::-1]
-    if not len(there):
-        return [()] if left <= waste else []
+    there = there[there > 0][::-1].tolist()
+    most = [min(int(counts[x]), left // x) for x in there]
+    # sums[i]: the totals that the lengths from i on can make, as bits.
+    sums, full = [1] * (len(there) + 1), (2 << left) - 1
+    for i in range(len(there) - 1, -1, -1):
+        made, k, step = sums[i + 1], most[i], 1
+        while k:
+            step = min(step, k)
+            made |= made << step * there[i]
+            k -= step
+            step *= 2
+        sums[i] = made & full
+
+    def exact(want: int, at: int) -> Iterator[Pattern]:
+        if not want:
+            yield ()
+            return
+        for i in range(at, len(there)):
+            if not sums[i] >> want & 1:
+                return  # nor can the lengths further on
+            x = there[i]
+            for k in range(min(most[i], want // x), 0, -1):
+                if sums[i + 1] >> want - k * x & 1:
+                    for rest in exact(want - k * x, i + 1):
+                        yield ((x, k), *rest)
+
     for gap in range(min(waste, left) + 1):
-        want = left - gap
-        if counts[want] and want and add((want,)):
-            return found
-        pairs = there[there >= (want + 1) // 2]
-        pairs = pairs[pairs < want]
-        for a in pairs[counts[want - pairs] > 0][:width].tolist():
-            if add((a, want - a)):
-                return found
-        for a in there[there < want - 1][:6].tolist():
-            rest = want - a
-            seconds = there[(there <= a) & (there >= (rest + 1) // 2) & (there < rest)]
-            for b in seconds[counts[rest - seconds] > 0][:2].tolist():
-                if add((a, b, rest - b)):
-                    return found
-        if found:
-            break
-    if not found and left <= waste:
-        found.append(())
-    return found
-
-
-def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], nodes: int = 2_000, width: int = 4) -> list[tuple[Pattern, int]]:
+        # Of a length that is left over in every filling, one more would fit.
+        if gap and there and there[-1] <= gap and counts[there[-1]] > (left - gap) // there[-1]:
+            return
+        if sums[0] >> left - gap & 1:
+            small = [x for x in there if x <= gap]
+            for filling in exact(left - gap, 0):
+                used = dict(filling)
+                if all(used.get(x, 0) >= counts[x] for x in small):
+                    yield filling
+
+
+def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], nodes: int = 2_000) -> list[tuple[Pattern, int]]:
     """Bin completion.  `nodes` bounds the search; a packing of everything is kept at all times."""
     best, used = incumbent, sum(k for _, k in incumbent)
     bound = lower_bound(counts, capacity)
@@ -147,21 +152,28 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[P
     for length, k in counts.items():
         left[length] = k
     path: list[tuple[Pattern, int, int]] = []  # what is filled, how often, the waste
-    stack: list[Iterator[tuple[int, ...]]] = []
+    stack: list[Iterator[tuple[Pattern, int]]] = []
     wasted = 0
 
-    def choices() -> Iterator[tuple[int, ...]]:
+    def choices() -> Iterator[tuple[Pattern, int]]:
+        """Patterns around the largest length and how often at most: each as often as it can be, then each once,
+        so that together with the choices below any number of times is tried."""
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        out = fillings(left, capacity - top, min(capacity - top, (used - 1) * capacity - total - wasted), width)
+        now, waste = left.copy(), min(capacity - top, (used - 1) * capacity - total - wasted)
         left[top] += 1
-        return iter([(top, *f) for f in out])
+        for most in (int(now.sum()) + 1, 1):
+            for filling in fillings(now, capacity - top, waste):
+                more = dict(filling)
+                pattern = ((top, more.pop(top, 0) + 1), *more.items())
+                if most > 1 or all(now[x] + (x == top) >= 2 * k for x, k in pattern):
+                    yield pattern, most
 
     if used > bound and left.any():
         stack.append(choices())
     while stack and nodes > 0 and used > bound:
-        items = next(stack[-1], None)
-        if items is None:
+        choice = next(stack[-1], None)
+        if choice is None:
             stack.pop()
             if path:
                 pattern, times, waste = path.pop()
@@ -170,9 +182,9 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[P
                     left[length] += each * times
             continue
         nodes -= 1
-        pattern = tuple((x, items.count(x)) for x in dict.fromkeys(items))
-        times = min(int(left[length]) // each for length, each in pattern)
-        spare, allowed = capacity - sum(items), (used - 1) * capacity - total - wasted
+        pattern, most = choice
+        times = min(most, *(int(left[length]) // each for length, each in pattern))
+        spare, allowed = capacity - sum(length * each for length, each in pattern), (used - 1) * capacity - total - wasted
         if spare:
             times = min(times, allowed // spare) if allowed >= spare else 0
         if times <= 0:

@@ -517,6 +517,30 @@ def test_the_search_beats_best_fit():
     assert sum(k for _, k in packing.plan(counts, 10)) == fewest(list(Counter(counts).elements()), 10)
 
 
+@pytest.mark.parametrize("counts, sequences", [({410: 1000, 409: 1000}, 400), ({293: 700, 292: 4200}, 700)])
+def test_the_search_fills_sequences_with_many_pieces(counts, sequences):
+    made, held = packing.plan(counts, 2048), Counter()
+    for pattern, times in made:
+        assert sum(n * k for n, k in pattern) <= 2048
+        held.update({n: k * times for n, k in pattern})
+    assert held == counts and sum(k for _, k in made) == sequences
+
+
+def test_fillings_are_all():
+    rng = random.Random(24)
+    for _ in range(100):
+        counts = np.zeros(13, np.int64)
+        for _ in range(rng.randint(0, 7)):
+            counts[rng.randint(1, 12)] += 1
+        waste, expected = rng.randint(0, 12), set()
+        for many in itertools.product(*(range(int(n) + 1) for n in counts)):
+            gap = 12 - sum(x * k for x, k in enumerate(many))
+            if 0 <= gap <= waste and all(k == counts[x] for x, k in enumerate(many) if x <= gap):
+                expected.add(tuple((x, k) for x, k in reversed(list(enumerate(many))) if k))
+        found = list(packing.fillings(counts, 12, waste))
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
 # ---- op9
 
 PAGES = [
