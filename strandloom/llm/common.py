@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries: its cleaner does so once the driver's
+    collector finds that nothing refers to them.  Worth a call after a large table is written."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, flush_rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of about flush_rows rows at a time.  Rows come sorted by the first `keys` columns;
+    rows that agree in them are never parted."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if len(held[0]) >= flush_rows:
+            last = np.ones(len(held[0]), bool)
+            for c in held[:keys]:
+                last &= c == c[-1]
+            if cut := int(np.argmax(last)):  # rows are sorted: the last run is at the end
+                yield [c[:cut] for c in held]
+                held = [c[cut:] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
 def crc_mod(doc_id: str, mod: int):
     """crc32 of an id as text, modulo mod; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

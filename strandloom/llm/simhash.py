@@ -3,16 +3,20 @@
 A fingerprint of 64 bits is made per document; documents link where at most
 ``radius`` bits differ, and the components of that graph are the groups.
 
-The index is a tree whose nodes hold bit patterns under a mask.  Its top level
-is dealt out over the cluster: the 64 bits are cut into ``radius + k`` blocks,
-and each choice of k blocks is a mask.  Two fingerprints within the radius
-agree on at least k whole blocks, so they share a top node, and no pair is
-lost.  Below a top node the fingerprints stand in Gray order, where neighbours
-differ in few bits; runs of them form nodes that keep the bits all of them
-share, and runs of nodes form nodes again.  A search adds up the differing bits
-from node to node and leaves a whole group as soon as they exceed the radius.
-
-Only distinct fingerprints enter (copies are one row, however many), a top node
+The index is a tree over fingerprints in Gray order, where neighbours differ in
+few bits: runs of them form nodes that keep the bits all of them share, runs of
+nodes form nodes again, and a pattern that children share is factored out into
+their parent.  A search goes down from the root, adds up the differing bits from
+node to node and leaves a whole group as soon as they exceed the radius.
+
+Over the cluster the Gray order is cut into ranges.  There are ``radius + 1``
+such orders, in each of which another of as many blocks of bits stands first.
+Two fingerprints within the radius agree on a whole block, and the first bits
+of a code fix those of its Gray rank, so in the order that this block leads both
+lie in one range: no pair is lost, and a fingerprint is dealt out radius + 1
+times, whatever their number.
+
+Only distinct fingerprints enter (copies are one row, however many), a range
 with more than ``node_rows`` of them is dealt out as pairs of parts, and a task
 reports a spanning forest of its links instead of all pairs.
 """
@@ -21,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,10 @@ SEED = 42
 _MAX = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
-    """The unsigned fingerprint of a whole text; zero where it has no word."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six ASCII spaces
+def fingerprint(text: str | bytes | None, words_per_shingle: int = 3) -> int:
+    """The unsigned fingerprint of a whole text (in UTF-8, if bytes); zero where it has no word."""
+    text = text or b""
+    words = (text.encode() if isinstance(text, str) else text).lower().split()  # of bytes: A-Z only, and the six ASCII spaces
     if not words:
         return 0
     if len(words) <= words_per_shingle:
@@ -75,11 +79,14 @@ class GrayIndex:
     """A tree over fingerprints in Gray order.
 
     Each node keeps the bits that all below it share, less those its parent
-    keeps already: a pattern under a mask.
+    keeps already: a pattern under a mask.  `checked` counts the nodes and
+    fingerprints that searches looked at, `pruned` the fingerprints that they
+    left unseen, in whole groups.
     """
 
-    def __init__(self, prints: np.ndarray, fanout: int = 16):
+    def __init__(self, prints: np.ndarray, fanout: int = 4):
         self.prints, self.fanout = prints, fanout
+        self.checked = self.pruned = 0
         level = [(prints, np.full(len(prints), _MAX, np.uint64))]
         while len(level[-1][0]) > 1:
             bits, mask = level[-1]
@@ -94,43 +101,30 @@ class GrayIndex:
             own = mask & ~above
             self.levels.append((bits & own, own))
 
-    def within(self, x: np.uint64, radius: int, alive: np.ndarray | None = None) -> np.ndarray:
-        """Positions of the fingerprints that differ from x in at most radius bits."""
-        at, so_far = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    def within(self, asked: np.ndarray, radius: int, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in asked, place in prints) that differ in at most radius bits.
+        after: for each one asked, the place behind which its partners have to stand."""
+        query, at, so_far = np.arange(len(asked)), np.zeros(len(asked), np.int64), np.zeros(len(asked), np.uint8)
+        size = len(self.prints)
         for depth in range(len(self.levels) - 1, -1, -1):
             bits, own = self.levels[depth]
-            so_far = so_far + np.bitwise_count((bits[at] ^ x) & own[at])
+            span = self.fanout**depth
+            if after is not None:
+                later = np.minimum((at + 1) * span, size) - 1 > after[query]
+                query, at, so_far = query[later], at[later], so_far[later]
+            so_far = so_far + np.bitwise_count((bits[at] ^ asked[query]) & own[at])
             keep = so_far <= radius
-            at, so_far = at[keep], so_far[keep]
+            self.checked += len(keep)
             if depth:
-                size = len(self.levels[depth - 1][0])
-                so_far = np.repeat(so_far, self.fanout)
+                gone = at[~keep]
+                self.pruned += int((np.minimum((gone + 1) * span, size) - gone * span).sum())
+            query, at, so_far = query[keep], at[keep], so_far[keep]
+            if depth:
+                query, so_far = np.repeat(query, self.fanout), np.repeat(so_far, self.fanout)
                 at = (at[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                there = at < size
-                if depth == 1 and alive is not None:
-                    there &= alive[np.minimum(at, size - 1)]
-                at, so_far = at[there], so_far[there]
-        return at
-
-
-def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what the graph of all links within prints connects."""
-    index, alive, links = GrayIndex(prints), np.ones(len(prints), bool), []
-    for seed in range(len(prints)):
-        if not alive[seed]:
-            continue
-        alive[seed], open_ = False, [seed]
-        while open_:
-            at = open_.pop()
-            near = index.within(prints[at], radius, alive)
-            near = near[alive[near]]
-            alive[near] = False
-            links += [(at, int(j)) for j in near]
-            open_ += near.tolist()
-    return links
-
-
-SMALL = 128
+                there = at < len(self.levels[depth - 1][0])
+                query, at, so_far = query[there], at[there], so_far[there]
+        return query, at
 
 
 def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,107 +144,91 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _link_groups(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal group numbers; small runs are compared all at once."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
-    small = np.repeat(sizes <= SMALL, sizes)
-    left, right = [], []
-    for step in range(1, SMALL):
-        if step >= len(group):
-            break
-        near = (group[step:] == group[:-step]) & small[step:]
-        near &= np.bitwise_count(prints[step:] ^ prints[:-step]) <= radius
-        if not near.any() and (step > sizes[sizes <= SMALL].max(initial=0)):
-            break
-        hits = np.flatnonzero(near)
-        left.append(hits)
-        right.append(hits + step)
-    if left:
-        a, b = _star(np.concatenate(left), np.concatenate(right))
-        left, right = [prints[a]], [prints[b]]
-    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        part = prints[start : start + size]
-        if links := forest(part, radius):
-            a, b = np.array(links).T
-            left.append(part[a])
-            right.append(part[b])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+def forest(prints: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that connect what the graph of all links within prints, in Gray order, connects."""
+    index = GrayIndex(prints)
+    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, len(prints), step):
+        places = np.arange(start, min(start + step, len(prints)))
+        a, b = index.within(prints[places], radius, places)
+        if len(a):
+            left, right = _star(np.concatenate([left, places[a]]), np.concatenate([right, b]))
+    return left, right
 
 
 def _links(radius: int, flush_rows: int = 1 << 16):
-    """Rows come sorted by node (kind, key, part, other) and Gray rank; whole nodes are worked on together."""
+    """Rows come sorted by range (kind, key, part, other) and Gray rank; whole ranges are worked on together."""
 
     def links(columns: list[np.ndarray]) -> pa.RecordBatch:
         *node, prints = columns
         change = np.zeros(len(prints), bool)
         for c in node:
             change[1:] |= c[1:] != c[:-1]
-        a, b = _link_groups(np.cumsum(change), prints.view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        edges = np.r_[0, np.flatnonzero(change), len(prints)]
+        prints, kinds, left, right = prints.view(np.uint64), [], [], []
+        for start, stop in zip(edges, edges[1:]):
+            part = prints[start:stop]
+            a, b = forest(part, radius)
+            kinds.append(np.full(len(a), node[0][start], np.int32))
+            left.append(part[a])
+            right.append(part[b])
+        kinds, a, b = map(np.concatenate, (kinds, left, right))
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) >= flush_rows:
-                last = np.ones(len(held[0]), bool)
-                for c in held[:-1]:
-                    last &= c == c[-1]
-                cut = int(np.argmax(last))  # rows are sorted: the last node's rows are at the end
-                if cut:
-                    yield links([c[:cut] for c in held])
-                    held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield links(held)
+        for columns in common.whole_runs(batches, 4, flush_rows):
+            yield links(columns)
 
     return run
 
 
-def block_masks(radius: int, shared: int) -> list[int]:
-    """The masks of all choices of `shared` blocks out of radius + shared."""
-    blocks = radius + shared
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    whole = [((1 << (j - i)) - 1) << i for i, j in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(whole, shared)]
+def _turned(column: Column, bits: int) -> Column:
+    """The 64 bits turned left."""
+    return F.shiftleft(column, bits).bitwiseOR(F.shiftrightunsigned(column, 64 - bits)) if bits else column
 
 
-def shared_blocks(n: int, radius: int) -> int:
-    """So many blocks that an average top node holds at most 64 of n fingerprints, up to three."""
-    return next((k for k in (1, 2) if n / 2 ** (64 * k / (radius + k)) <= 64), 3)
+def gray_ranges(n: int, radius: int, range_rows: int) -> list[tuple[int, int]]:
+    """(turn, bits) of each order: by how much a fingerprint is turned so that the order's block
+    stands first, and how many first bits make a range, so that n fingerprints would give about range_rows each."""
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    wanted = max(0, math.ceil(math.log2(max(n, 1) / range_rows)))
+    return [((64 - high) % 64, min(high - low, wanted)) for low, high in zip(edges, edges[1:])]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def near_links(prints: DataFrame, radius: int = 3, node_rows: int = 2048) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 3, node_rows: int = 8192, range_rows: int = 1024) -> DataFrame:
     """prints: one column fp (long) of distinct fingerprints.  Returns links a, b that
     connect exactly what the links within the radius connect."""
-    masks = block_masks(radius, shared_blocks(prints.count(), radius))
-    nodes = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("kind", "key"))
+    orders = gray_ranges(prints.count(), radius, range_rows)
+    turned = F.array(*(F.struct(F.lit(kind).alias("kind"), _turned(F.col("fp"), turn).alias("code"), F.lit(64 - bits).alias("rest")) for kind, (turn, bits) in enumerate(orders)))
+    nodes = prints.select("fp", F.inline(turned))
+    # The first bits of the code, in two steps, as a shift by 64 would be none.
+    key = F.call_function("shiftrightunsigned", F.shiftrightunsigned("code", 1), F.col("rest") - 1)
+    nodes = nodes.select("kind", key.alias("key"), "code")
     crowded = nodes.groupBy("kind", "key").count().where(F.col("count") > node_rows)
     crowded = crowded.select("kind", "key", F.ceil(F.col("count") / node_rows).cast("int").alias("parts"))
     nodes = nodes.join(crowded, ["kind", "key"], "left")
-    # Every two parts of a crowded node meet in one task.
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    # Every two parts of a crowded range meet in one task.
+    mine = F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != mine)
     pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("other")))).otherwise(
         F.transform(others, lambda j: F.struct(F.least(mine, j).alias("part"), F.greatest(mine, j).alias("other")))
     )
-    nodes = nodes.withColumn("tile", F.explode(pairs)).select("kind", "key", "tile.part", "tile.other", "fp")
-    rank = F.col("fp")
+    nodes = nodes.withColumn("tile", F.explode(pairs)).select("kind", "key", "tile.part", "tile.other", "code")
+    rank = F.col("code")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
         nodes = nodes.withColumn("rank", rank)
         rank = F.col("rank")
-    dealt = nodes.repartition("kind", "key", "part", "other").sortWithinPartitions("kind", "key", "part", "other", "rank").drop("rank")
-    return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
+    # Ranks are unsigned: the sign bit is turned over for the order.
+    dealt = nodes.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)))).repartition("kind", "key", "part", "other")
+    dealt = dealt.sortWithinPartitions("kind", "key", "part", "other", "rank").drop("rank")
+    turns = F.element_at(F.array(*(F.lit((64 - turn) % 64) for turn, _ in orders)), F.col("kind") + 1)
+    back = lambda c: F.call_function("shiftleft", c, turns).bitwiseOR(F.call_function("shiftrightunsigned", c, F.pmod(64 - turns, F.lit(64))))
+    found = dealt.mapInArrow(_links(radius), "kind int, a long, b long")
+    return found.select(back(F.col("a")).alias("a"), back(F.col("b")).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", node_rows: int = 2048, keep: list[Column] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", node_rows: int = 8192, keep: list[Column] | None = None) -> DataFrame:
     """A row per document: doc_id, fingerprint (16 hex digits), component_id,
     group_print (the fingerprint that names the group), and the columns of keep.
 
@@ -270,214 +248,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     groups = distinct.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first_id").alias("component_id"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return prints.join(groups, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("group_print"), *schema.names[1:-1])
-
-
-def _turned(turn: int):
-    return lambda x: F.xxhash64(x, F.lit(turn))
-
-
-def _shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
-    words = text.encode().lower().split()
-    n = min(words_per_shingle, len(words))
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(n)))) if n else ()
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles), np.uint64))
-
-
-def _shingle_sets(words_per_shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_shingle_set(text.as_py(), words_per_shingle).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "shingles"])
-
-    return run
-
-
-def _prefixes(words_per_shingle: int, similarity: float, common_last: np.ndarray):
-    """The number of shingles of each text, and its first ones in an order that all texts share:
-    by hash, those of common_last (ascending frequency) behind the others.  Two sets of the
-    similarity can't differ in all of so many."""
-    by_hash = np.argsort(common_last)
-    listed = common_last[by_hash]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, firsts = [], []
-            for text in batch.column(1):
-                shingles = _shingle_set(text.as_py(), words_per_shingle)
-                n = len(shingles)
-                if n and len(listed):
-                    at = np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)
-                    rank = np.where(listed[at] == shingles, by_hash[at] + 1, 0)
-                    shingles = shingles[np.argsort(rank, kind="stable")]
-                sizes.append(n)
-                # Texts without a word are alike, and meet under 0.
-                firsts.append((shingles[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)).view(np.int64))
-            arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["text_key", "n", "firsts"])
-
-    return run
-
-
-def _met(similarity: float, flush_rows: int = 1 << 16):
-    """Pairs within runs of equal shingle (and tile), less those whose sizes and places rule the similarity out.
-    Rows come sorted by shingle, part, other."""
-    share = similarity / (1 + similarity)
-
-    def may(n, at, m, other_at):
-        # At the first shingle that two prefixes share, no more than the shorter rest can be shared too.
-        return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - other_at) >= share * (n + m) - 1e-9)
-
-    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        *node, ids, sizes, places = columns
-        change = np.zeros(len(ids), bool)
-        for c in node:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.r_[0, np.flatnonzero(change)]
-        runs = np.diff(np.r_[starts, len(ids)])
-        sizes, places = sizes.astype(np.int64), places.astype(np.int64)
-        left, right, held = [], [], 0
-        small = np.repeat(runs <= SMALL, runs)
-        group = np.cumsum(change)
-        for step in range(1, int(runs[runs <= SMALL].max(initial=0))):
-            hits = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-            hits = hits[may(sizes[hits], places[hits], sizes[hits + step], places[hits + step])]
-            left.append(ids[hits])
-            right.append(ids[hits + step])
-        for start, size in zip(starts[runs > SMALL].tolist(), runs[runs > SMALL].tolist()):
-            for at in range(start, start + size - 1):
-                rest = slice(at + 1, start + size)
-                hits = at + 1 + np.flatnonzero(may(sizes[at], places[at], sizes[rest], places[rest]))
-                left.append(np.full(len(hits), ids[at]))
-                right.append(ids[hits])
-                held += len(hits)
-                if held >= flush_rows:
-                    yield batch_of(left, right)
-                    left, right, held = [], [], 0
-        yield batch_of(left, right)
-
-    def batch_of(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        both = both[:, both[0] != both[1]]
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) >= flush_rows:
-                last = np.ones(len(held[0]), bool)
-                for c in held[:3]:
-                    last &= c == c[-1]
-                if cut := int(np.argmax(last)):
-                    yield from pairs([c[:cut] for c in held])
-                    held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield from pairs(held)
-
-    return run
-
-
-def _candidates(rows: DataFrame, active: DataFrame, similarity: float, words_per_shingle: int, node_rows: int = 2048, sample_rows: int = 20_000, most_common: int = 20_000) -> DataFrame:
-    """Pairs a, b of active texts (64 bits of their keys, a < b) that hold every pair of the similarity.
-
-    Samples say only which shingles to put last and which groups to deal out in
-    tiles; whatever they say, no pair is lost.
-    """
-    sets = active.select("text_key").agg(F.count("*")).first()[0]
-    some = F.pmod(F.xxhash64("text_key"), F.lit(max(1, sets // sample_rows))) == 0
-    seen = rows.where(some).select("text_key", "__text").dropDuplicates(["text_key"]).mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
-    seen = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
-    often = seen.orderBy(F.desc("count"), "shingle").limit(most_common).collect()
-    common_last = np.array([r.shingle for r in reversed(often)], np.int64).view(np.uint64)
-
-    firsts = rows.select("text_key", "__text").mapInArrow(_prefixes(words_per_shingle, similarity, common_last), "text_key binary, n int, firsts array<long>")
-    firsts = firsts.groupBy("text_key").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    firsts = common.stored(firsts.join(active.select("text_key"), "text_key", "left_semi").select(_text_id("text_key").alias("id"), "n", "firsts"), "prefixes")
-    postings = firsts.select("id", "n", F.posexplode("firsts").alias("at", "shingle"))
-    scale = max(1, sets // sample_rows)
-    crowded = postings.where(F.pmod("id", F.lit(scale)) == 0).groupBy("shingle").count().where(F.col("count") * scale > node_rows)
-    crowded = F.broadcast(crowded.select("shingle", (F.ceil(F.col("count") * scale / node_rows) + 1).cast("int").alias("parts")))
-    postings = postings.join(crowded, "shingle", "left")
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != mine)
-    tiles = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("other")))).otherwise(
-        F.transform(others, lambda j: F.struct(F.least(mine, j).alias("part"), F.greatest(mine, j).alias("other")))
-    )
-    postings = postings.withColumn("tile", F.explode(tiles)).select("shingle", "tile.part", "tile.other", "id", "n", "at")
-    dealt = postings.repartition("shingle", "part", "other").sortWithinPartitions("shingle", "part", "other")
-    return common.stored(dealt.mapInArrow(_met(similarity), "a long, b long").distinct(), "candidates")
-
-
-def _text_id(text_key: str) -> Column:
-    """The first 64 bits of a text's md5."""
-    return F.conv(F.hex(F.substring(text_key, 1, 8)), 16, -10).cast("long")
-
-
-def similar_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 8, words_per_print_shingle: int = 2, rounds: int = 6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per distinct text: text_key (md5, binary), first_id (its smallest doc_id, null
-    if it has none), leader_key: null where the text stays, else the key of a text it copies.
-
-    A text copies another if their sets of five-word shingles have a Jaccard
-    similarity of at least `similarity` (texts without words are alike).
-    Fingerprints over word pairs, which a few changed words hardly move, propose:
-    texts are compared within the components of links within the radius.  There
-    the text of the smallest doc_id leads and the others are measured against it;
-    then the same within the texts that share a min-hash of their shingles, with
-    another hash in each of `rounds` rounds.  Texts of similarity s share one with
-    probability s, so at 0.8 a pair never meets in 0.2 ** rounds of the cases.
-    These rounds only thin out large groups cheaply.  What they leave goes through
-    a join that loses no pair, over all texts whatever their fingerprints: texts that
-    share one of their first shingles (the prefix that the similarity fixes) are
-    measured, and of two that are alike the later one goes.  So no two texts that
-    stay are alike.  Every step is written.  A leader may copy another in a later
-    step; one text of each chain stays.  Null texts count as empty.
-    """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
-    prints = rows.mapInArrow(_fingerprints(words_per_print_shingle), schema)
-    units = common.stored(prints.groupBy("text_key", "fp").agg(F.min("doc_id").alias("first_id")), "units")
-    roots = components.connected_components(near_links(units.select("fp").distinct(), radius))
-    grouped = units.join(roots, units.fp == roots.node, "left").select("text_key", "first_id", F.coalesce("root", "fp").alias("root"))
-    several = grouped.groupBy("root").count().where("count > 1").select("root")
-    grouped = common.stored(grouped.join(several, "root", "left_semi"), "proposed")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        one = wanted.select("text_key", F.col("first_id").alias("doc_id"))
-        chosen = rows.join(one, (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
-        sets = chosen.select("text_key", "__text").mapInArrow(_shingle_sets(words_per_shingle), "text_key binary, shingles array<long>")
-        return wanted.join(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "text_key")
-
-    members = common.stored(sets_of(grouped), "members")
-    order = F.struct(F.col("first_id").isNull(), "first_id", "text_key")
-
-    def similar(a: str, b: str) -> Column:
-        shared = F.size(F.array_intersect(a, b))
-        united = F.size(a) + F.size(b) - shared
-        return F.when(united == 0, F.lit(True)).otherwise(shared / united >= similarity)
-
-    active, copies = members, None
-    for turn in range(rounds + 1):
-        least = F.coalesce(F.array_min(F.transform("shingles", _turned(turn))), F.lit(0).cast("long")) if turn else F.lit(0).cast("long")
-        keyed = active.withColumn("least", least)
-        lead = F.min_by(F.struct(F.col("text_key").alias("leader_key"), F.col("shingles").alias("lead")), order).alias("by")
-        leads = keyed.groupBy("root", "least").agg(F.count("*").alias("n"), lead).where("n > 1").select("root", "least", "by.*")
-        pairs = keyed.join(leads, ["root", "least"]).where("text_key <> leader_key")
-        alike = pairs.where(similar("shingles", "lead"))
-        found = common.stored(alike.select("text_key", "leader_key"), "copies")
-        copies = found if copies is None else copies.union(found)
-        active = members.join(copies, "text_key", "left_anti")
-    left = units.join(copies, "text_key", "left_anti")
-    met = _candidates(rows, left, similarity, words_per_shingle)
-    ends = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
-    wanted = left.select("text_key", "first_id", _text_id("text_key").alias("id")).join(ends, "id", "left_semi")
-    measured = common.stored(sets_of(wanted).select("id", order.alias("order"), "shingles"), "measured")
-    one, two = (measured.select(F.col("id").alias(c), F.col("order").alias(f"{c}_order"), F.col("shingles").alias(f"{c}_shingles")) for c in "ab")
-    alike = met.join(one, "a").join(two, "b").where(similar("a_shingles", "b_shingles"))
-    alike = alike.select(F.greatest("a_order", "b_order").alias("later"), F.least("a_order", "b_order").alias("earlier"))
-    alike = alike.groupBy("later").agg(F.min("earlier").alias("earlier"))
-    found = common.stored(alike.select("later.text_key", F.col("earlier.text_key").alias("leader_key")), "copies")
-    return units.join(copies.union(found), "text_key", "left").select("text_key", "first_id", "leader_key")

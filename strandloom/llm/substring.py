@@ -48,7 +48,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:size], down[:size]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """The finishing step of a 64-bit hash, so that all bits depend on all."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -60,7 +60,7 @@ def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
     up, down = _powers(base, len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * down[: len(words)], out=sums[1:])
-    return _mix((sums[width:] - sums[:-width]) * up[: len(words) - width + 1])
+    return mix((sums[width:] - sums[:-width]) * up[: len(words) - width + 1])
 
 
 def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -73,8 +73,8 @@ def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
     return fold(x[:-rest], x[rest:]) if rest else x
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().split()  # of bytes: the six ASCII spaces
+def word_hashes(text: str | bytes) -> np.ndarray:
+    words = (text.encode() if isinstance(text, str) else text).split()  # of bytes: the six ASCII spaces
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -160,7 +160,7 @@ def _windows(width: int, grain: int):
                 if not len(at):
                     continue
                 first = window_hashes(words, width, _BASES[0])[at]
-                second = window_hashes(_mix(words ^ np.uint64(_BASES[1])), width, _BASES[1])[at]
+                second = window_hashes(mix(words ^ np.uint64(_BASES[1])), width, _BASES[1])[at]
                 keys = batch.column(0).take(pa.array(np.full(len(at), row)))
                 copies = pa.array(np.full(len(at), batch.column(3)[row].as_py()))
                 arrays = [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), keys, pa.array(at.astype(np.int32)), copies]

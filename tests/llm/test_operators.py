@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, boost, common, components, decontam, encoder, htmltext, langid, packing, pii, records, simhash, substring, toxicity
+from strandloom.llm import ann, boost, common, components, decontam, encoder, htmltext, langid, nearcopies, packing, pii, records, simhash, substring, toxicity
 
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choice("abcdefghé") for _ in range(RNG.randint(1, 6))) for _ in range(300)]
@@ -250,31 +250,61 @@ def test_gray_index():
     rng = np.random.default_rng(1)
     codes = np.arange(64, dtype=np.uint64)
     assert (simhash.gray_rank(codes ^ (codes >> np.uint64(1))) == codes).all()
-    prints = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64) & np.uint64(0xFF0000FF00FF))
+    prints = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
     prints = prints[np.argsort(simhash.gray_rank(prints))]
+    near = prints[:40] ^ np.uint64(5 << 30)
     index = simhash.GrayIndex(prints)
-    for x in prints[:60]:
-        assert set(index.within(x, 3)) == set(np.flatnonzero(np.bitwise_count(prints ^ x) <= 3))
+    for asked in (prints[:60], near):
+        found = Counter(zip(*(x.tolist() for x in index.within(asked, 3))))
+        assert found == Counter((i, int(j)) for i, x in enumerate(asked) for j in np.flatnonzero(np.bitwise_count(prints ^ x) <= 3))
+    # Whole groups are left by what differs so far: most fingerprints are never looked at.
+    assert index.pruned > 0.7 * 100 * len(prints) and index.checked < 0.6 * 100 * len(prints)
+    for x in prints[:20]:
+        assert set(simhash.GrayIndex(prints).within(np.array([x]), 3, np.array([7]))[1]) == {j for j in np.flatnonzero(np.bitwise_count(prints ^ x) <= 3) if j > 7}
 
 
-def test_similar_copies(spark):
-    words = prose(300).split()
-    copies = [(100, " ".join(words))] + [(101 + i, " ".join(words[: 40 * i] + ["changed"] + words[40 * i + 1 :])) for i in range(6)]
-    docs = TEXTS + copies + [(99, " ".join(w if i % 4 else "other" for i, w in enumerate(words)))]
-    found = simhash.similar_copies(documents(spark, docs)).collect()
-    stays = {r.first_id for r in found if r.leader_key is None}
-    assert {100, 99, 1, 5, 10} <= stays and not {101, 102, 103, 104, 105, 106} & stays
-    assert len(stays & {2, 3, 4}) == 1  # texts without words
-    assert simhash.similar_copies(documents(spark).limit(0)).count() == 0
+def test_ranges_of_the_gray_order():
+    for n, radius in ((0, 3), (1, 3), (10**5, 3), (10**12, 3), (10**6, 8)):
+        orders = simhash.gray_ranges(n, radius, 1024)
+        assert len(orders) == radius + 1 and all(bits <= 64 // (radius + 1) + 1 for _, bits in orders)
+    assert {bits for _, bits in simhash.gray_ranges(10**5, 3, 1024)} == {7}
+
+
+def jaccard(a, b):
+    a, b = (t.encode().lower().split() for t in (a, b))  # A-Z only
+    a, b = (set(zip(*(t[i:] for i in range(min(5, len(t)))))) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def staying(spark, docs, **how):
-    return {r.first_id for r in simhash.similar_copies(documents(spark, docs), **how).collect() if r.leader_key is None}
+    """The ids that stay, once all that the operator promises is checked on all pairs."""
+    every, stays = nearcopies.similar_copies(documents(spark, docs), keep=[F.lit(5).alias("first_id_"), "n"], **how)
+    text = {hashlib.md5((t or "").encode()).digest(): t or "" for _, t in docs}
+    ids = {}
+    for i, t in docs:
+        ids.setdefault(hashlib.md5((t or "").encode()).digest(), []).append(i)
+    rows = {bytes(r.text_key): r for r in every.collect()}
+    assert set(rows) == set(text)
+    for key, r in rows.items():
+        known = [i for i in ids[key] if i is not None]
+        assert r.first_id == (min(known) if known else None)
+        if r.leader_key is not None:
+            assert rows[bytes(r.leader_key)].leader_key is None and jaccard(text[key], text[bytes(r.leader_key)]) >= 0.8
+    left = [k for k, r in rows.items() if r.leader_key is None]
+    assert not [(text[a][:200], text[b][:200]) for a, b in itertools.combinations(left, 2) if jaccard(text[a], text[b]) >= 0.8]
+    kept = stays.collect()
+    assert Counter((r.first_id, r.text or "", r.first_id_, r.n) for r in kept) == Counter((rows[k].first_id, text[k], 5, 8) for k in left)
+    return {r.first_id for r in kept}
 
 
-def jaccard(a, b):
-    a, b = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
-    return len(a & b) / len(a | b)
+def test_similar_copies(spark):
+    words = prose(300).split()
+    copies = [(100, " ".join(words))] + [(101 + i, " ".join(words[: 40 * i] + ["changed"] + words[40 * i + 1 :])) for i in range(6)]
+    docs = TEXTS + copies + [(99, " ".join(w if i % 4 else "other" for i, w in enumerate(words))), (98, "  ".join(words).replace("a", "A"))]
+    stays = staying(spark, docs)
+    assert {98, 99, 1, 5, 10} <= stays and not set(range(100, 107)) & stays
+    assert len(stays & {2, 3, 4}) == 1  # texts without words
+    assert nearcopies.similar_copies(documents(spark).limit(0))[0].count() == 0
 
 
 def test_similar_copies_behind_a_less_similar_leader(spark):
@@ -291,6 +321,20 @@ def test_similar_copies_behind_a_less_similar_leader(spark):
     assert staying(spark, docs, radius=24) == {*range(8), 50}
 
 
+def test_chains_of_copies_keep_one_that_each_is_like(spark):
+    # Each text is like its neighbours and unlike those further off, so leaders go and their followers are open again.
+    rng = random.Random(25)
+    docs, base = [], 0
+    for family in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for turn in range(rng.randint(2, 9)):
+            docs.append((base + rng.randrange(10**6), " ".join(words)))
+            at = rng.randrange(0, 250)
+            words = words[:at] + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([3, 15, 22]))] + words[at + rng.choice([3, 15]) :]
+    assert len(staying(spark, docs)) > 25
+    assert staying(spark, docs, rounds=0, node_rows=2) == staying(spark, docs, rounds=0)
+
+
 def test_cut_and_lengthened_copies(spark):
     rng = random.Random(22)
     docs, expected = [], set()
@@ -310,13 +354,16 @@ def test_candidates_lose_no_pair(spark, node_rows):
     pools = [[f"{p}{i}" for i in range(12)] for p in "abc"]
     docs = {" ".join(rng.choice(pools)[: rng.randint(1, 12)] + rng.choice(pools)[: rng.randint(0, 12)]) for _ in range(150)}
     docs = [(i, t) for i, t in enumerate(sorted(docs))]
-    rows = documents(spark, docs).select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.col("text").alias("__text"))
-    made = {(r.a, r.b) for r in simhash._candidates(rows, rows, 0.8, 5, node_rows, 40).collect()}
-    sets = [set(simhash._shingle_set(t, 5).tolist()) for _, t in docs]
-    names = [int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big", signed=True) for _, t in docs]
-    pairs = itertools.combinations(range(len(docs)), 2)
-    alike = {tuple(sorted((names[i], names[j]))) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert len(alike) > 25 and alike <= made and len(made) < len(docs) * (len(docs) - 1) / 4
+    pack = nearcopies.zstandard.ZstdCompressor().compress
+    rows = spark.createDataFrame([(i, int(i % 3 == 0), pack(t.encode())) for i, t in docs], "id long, settled int, packed binary").repartition(3)
+    often = nearcopies.common_shingles(rows, len(docs), 5, 40)
+    sets = [nearcopies.shingle_set(t.encode(), 5) for _, t in docs]
+    pairs = list(itertools.combinations(range(len(docs)), 2))
+    shared = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in pairs}
+    for most in (0, 10**6):
+        made = {(r.a, r.b) for r in nearcopies.candidates(rows, often, 0.8, 5, True, node_rows, most).collect()}
+        alike = {(i, j) for i, j in pairs if (i % 3 or j % 3) and shared[i, j] >= 0.8 * (len(sets[i]) + len(sets[j]) - shared[i, j])}
+        assert len(alike) > 20 and alike <= made and len(made) < len(pairs) / 4 and all(i % 3 or j % 3 for i, j in made)
 
 
 def test_components_of_a_path(spark):
