@@ -84,6 +84,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def begin_stage(spark: SparkSession) -> None:
+    """Bound Arrow batches, and let go of what earlier stages left with the driver."""
+    bound_batches(spark)
+    free_shuffles(spark)
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, flush_rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
     """The columns of about flush_rows rows at a time.  Rows come sorted by the first `keys` columns;
     rows that agree in them are never parted."""

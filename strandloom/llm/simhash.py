@@ -127,23 +127,6 @@ class GrayIndex:
         return query, at
 
 
-def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each end to the first of its component, in place of all links."""
-    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ends))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            moved = label != np.arange(len(ends))
-            return ends[label[moved]], ends[moved]
-        label = new
-
-
 def forest(prints: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Links (places) that connect what the graph of all links within prints, in Gray order, connects."""
     index = GrayIndex(prints)
@@ -152,7 +135,7 @@ def forest(prints: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray
         places = np.arange(start, min(start + step, len(prints)))
         a, b = index.within(prints[places], radius, places)
         if len(a):
-            left, right = _star(np.concatenate([left, places[a]]), np.concatenate([right, b]))
+            left, right = components.star(np.concatenate([left, places[a]]), np.concatenate([right, b]))
     return left, right
 
 

@@ -368,8 +368,26 @@ def test_candidates_lose_no_pair(spark, node_rows):
 
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)]
-    found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {i: 0 for i in range(61)} | {100: 100, 200: 100}
+    for few in (500_000, 0):
+        found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert found == {i: 0 for i in range(61)} | {100: 100, 200: 100}
+
+
+def test_what_goes_is_linked_to_what_stays(spark):
+    rng = random.Random(31)
+    links = {(j, i) for i, j in (sorted(rng.sample(range(80), 2)) for _ in range(120))} | {(100 + i, 100 + i - 1) for i in range(1, 12)}
+    stays, gone = set(), {}
+    for x in sorted({x for p in links for x in p}):
+        before = [b for a, b in links if a == x and b in stays]
+        if before:
+            gone[x] = min(before)
+        else:
+            stays.add(x)
+    rows = spark.createDataFrame([(a.to_bytes(4), b.to_bytes(4)) for a, b in links], "later binary, earlier binary")
+    for few in (200_000, 30, 0):
+        found = {int.from_bytes(r.text_key): int.from_bytes(r.leader_key) for r in nearcopies.resolve(rows, few).collect()}
+        assert set(found) == set(gone) and all((x, y) in links and y in stays for x, y in found.items())
+    assert nearcopies.resolve(rows.limit(0)).count() == 0
 
 
 # ---- op5
