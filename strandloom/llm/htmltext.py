@@ -2,13 +2,18 @@
 
 The visible text of a page is cut into blocks, each with the path of block
 elements from the root down to it (inline markup doesn't count).  Text length
-and punctuation are added up per path, smoothed along the page, fused and held
-against a threshold, which gives the paths of content: their blocks are kept
-wherever they stand.  The element around the heaviest of them is the article; what
-belongs to it is kept but for blocks that are mostly links, so that titles, short
-paragraphs and lists inside it are not lost, as are headings right before content.  What HTML itself
-marks as something else (menus, headers, footers, sidebars, forms, adverts,
-notices, comments) is left out first.
+(links count against it) and punctuation are added up per path, as ratios to its
+nodes and as shares of the page, smoothed along the page and fused into one
+score.  Paths whose score passes a threshold are content, and their blocks are
+kept wherever they stand.
+
+What HTML itself marks as something else (elements, roles and class words of
+menus, headers, footers, sidebars, forms, adverts, notices, comments) is
+evidence: a marked path has to pass the best score of those that aren't, by the more the
+less text it has, so a mark that only looks like one doesn't lose an article.  The element around the
+heaviest content is the article; what belongs to it is kept but for marked blocks
+and blocks that are mostly links, so that titles, short paragraphs and lists
+inside it are not lost, as are headings right before content.
 """
 
 from __future__ import annotations
@@ -46,6 +51,9 @@ APART_WORDS = set(
     "comments commentlist respond reply replies discussion disqus pagination pager toolbar skip paywall teaser".split()
 )
 CONTAINERS = {"article", "main"}
+AS_ARTICLE = 2.0
+#: So many characters give a mark and a score the same say.
+SUPPORT = 1000
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: p ends where one of these begins.
 _ENDS_P = BLOCKS - {"br", "option", "select", "optgroup", "button", "label", "legend", "datalist", "output"}
@@ -177,59 +185,79 @@ def blocks_of(source: str) -> list[Block]:
 
 
 def path_scores(blocks: list[Block], smooth: float = 1.0) -> dict[tuple[str, ...], float]:
-    """The fused score of each path: text ratio times punctuation ratio, each
-    smoothed along the page and scaled by its mean."""
+    """The fused score of each path: text length times punctuation, each as the ratio to the path's
+    nodes, smoothed along the page, times the path's share of the page, relative to the mean path."""
     paths = {b.path: i for i, b in enumerate(blocks)}
     paths = {p: i for i, p in enumerate(paths)}
     of = np.array([paths[b.path] for b in blocks])
     nodes = np.bincount(of, minlength=len(paths))
     lengths = np.array([max(0, len(b.text) - 2 * b.linked) for b in blocks], float)
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
+    marks = np.array([len(_PUNCTUATION.findall(b.text)) * (len(b.text) > 2 * b.linked) for b in blocks], float)
     weights = np.exp(-0.5 * (np.arange(-2, 3) / smooth) ** 2)
     fused = np.ones(len(paths))
     for values in (lengths, marks):
-        ratio = np.bincount(of, values, len(paths)) / nodes
-        along = np.convolve(ratio[of], weights / weights.sum(), "full")[2 : 2 + len(of)]
+        total = np.bincount(of, values, len(paths))
+        along = np.convolve((total / nodes)[of], weights / weights.sum(), "full")[2 : 2 + len(of)]
         ratio = np.bincount(of, along, len(paths)) / nodes
-        fused *= ratio / max(ratio.mean(), 1e-9) + 0.01
-    total = np.bincount(of, lengths, len(paths))
-    return {p: float(fused[i] * (total[i] > 0)) for p, i in paths.items()}
+        fused *= (ratio / max(ratio.mean(), 1e-9) + 0.05) * (total / max(total.mean(), 1e-9) + 0.05)
+    return {p: float(fused[i] * (lengths[of == i].sum() > 0)) for p, i in paths.items()}
 
 
-def content_blocks(blocks: list[Block], threshold: float = 0.5) -> list[Block]:
+def content_blocks(blocks: list[Block], threshold: float = 0.1) -> list[Block]:
     """The blocks of the article.  threshold: in standard deviations of the paths' scores."""
-    open_ = [b for b in blocks if not b.apart]
-    if not open_:
+    if not blocks:
+        return []
+    scores = path_scores(blocks)
+    marked = {b.path for b in blocks if b.apart}
+    plain = {p: s for p, s in scores.items() if p not in marked}
+    # Where class words mark all that is left, they tell nothing; elements do.
+    plain = plain or {b.path: scores[b.path] for b in blocks if not APART & set(b.tags) and not ("header" in b.tags and not CONTAINERS & set(b.tags))}
+    if not plain:
+        return []
+    # Evidence for an article counts like evidence against one.
+    bar = max(s * (AS_ARTICLE if any(k.split(".")[0] in CONTAINERS for k in p) else 1.0) for p, s in plain.items())
+    # The score of a marked path counts the more the more text it rests on.
+    total = dict.fromkeys(scores, 0)
+    for b in blocks:
+        total[b.path] += len(b.text)
+    held = {p: (total[p] / (total[p] + SUPPORT)) ** 2 if p in marked else 1.0 for p in scores}
+    sound = {p: s for p, s in scores.items() if p in plain or s * held[p] >= bar > 0}
+    values = np.array(list(sound.values()))
+    floor = min(values.max(), threshold * values.std())
+    chosen = {p for p, s in sound.items() if s > 0 and s >= floor}
+    if not chosen:
         return []
-    scores = path_scores(open_)
-    values = np.array(list(scores.values()))
-    chosen = {p for p, s in scores.items() if s >= min(values.max(), threshold * values.std())}
     weight: dict[tuple[str, ...], float] = {}
-    for b in open_:
+    for b in blocks:
         if b.path in chosen:
             depth = next((d + 1 for d, t in enumerate(b.tags) if t in CONTAINERS), max(0, len(b.path) - 1))
             home = b.path[:depth]
-            weight[home] = weight.get(home, 0.0) + scores[b.path] * len(b.text)
-    # A marked article goes before what merely holds much text.
-    marked = {h: w for h, w in weight.items() if any(k.split(".")[0] in CONTAINERS for k in h)}
-    home = max((marked or weight).items(), key=lambda x: (x[1], x[0]))[0]
+            article = any(k.split(".")[0] in CONTAINERS for k in home)
+            weight[home] = weight.get(home, 0.0) + scores[b.path] * len(b.text) * (AS_ARTICLE if article else 1.0)
+    home = max(weight.items(), key=lambda x: (x[1], x[0]))[0]
     linked: dict[tuple[str, ...], list[int]] = {}
-    for b in open_:
+    for b in blocks:
         pair = linked.setdefault(b.path, [0, 0])
         pair[0] += b.linked
         pair[1] += len(b.text.replace(" ", ""))
     menus = {p for p, (a, n) in linked.items() if 2 * a > n}
-    in_home = [b.path[: len(home)] == home for b in open_]
-    keep = [b.path in chosen or near and (b.path not in menus or marked and b.tags[-1] in HEADINGS) for b, near in zip(open_, in_home)]
+    sure = any(k.split(".")[0] in CONTAINERS for k in home)
+    outer = sum(b.path[: len(home)] == home and b.apart for b in blocks) == sum(b.path[: len(home)] == home for b in blocks)
+
+    def near(b: Block) -> bool:
+        inside = b.path[: len(home)] == home
+        return inside and (outer or not b.apart) and (b.path not in menus or sure and b.tags[-1] in HEADINGS)
+
+    keep = [b.path in chosen or near(b) for b in blocks]
     # A heading elsewhere belongs to the content that follows it below its parent.
     follows: Block | None = None
-    for i in range(len(open_) - 1, -1, -1):
-        b = open_[i]
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
         if keep[i]:
             follows = b
-        elif follows and b.tags and b.tags[-1] in HEADINGS and b.path not in menus and follows.path[: len(b.path) - 1] == b.path[:-1]:
+        elif follows and b.tags and b.tags[-1] in HEADINGS and b.path not in menus and not b.apart and follows.path[: len(b.path) - 1] == b.path[:-1]:
             keep[i] = True
-    return [b for b, k in zip(open_, keep) if k]
+    return [b for b, k in zip(blocks, keep) if k]
 
 
 def extract(source: str | None) -> str:

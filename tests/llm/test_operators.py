@@ -3,6 +3,7 @@ texts, copies, repeated and null ids, and columns whose names clash."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -634,6 +635,60 @@ def test_main_text(spark):
     assert htmltext.extract_pages(df.limit(0)).count() == 0
 
 
+def test_marks_are_evidence_only():
+    long = "It rained on Monday, and the river rose. By noon, the lower meadows stood under water. " * 3
+    for source, expected in (
+        (f"<div class='content no-sidebar'><p>{long}</p></div><div>hi</div>", long),
+        (f"<article class='post comments-open'><p>{long}</p></article><div class=comments><p>Nice, really. I like it.</p></div>", long),
+        (f"<div id='share-price-report'><p>{long}</p></div>", long),
+        (f"<div class=a data-x='{'>' * 5000}'><p>{long}</p></div><div class=b><a href=x>Home</a></div>", long),
+        (f"<nav><ul><li><a href=x>{long}</a></li></ul></nav><p>Short, but so it is.</p>", "Short, but so it is."),
+        (f"<article><p>{long}</p></article><aside><p>Look here, it is new.</p></aside><footer><p>All rights, as ever.</p></footer>", long),
+    ):
+        assert htmltext.extract(source) == expected.strip()
+
+
+def plain_path_scores(blocks):
+    """path_scores by loops."""
+    paths = list(dict.fromkeys(b.path for b in blocks))
+    gauss = [math.exp(-0.5 * d * d) for d in range(-2, 3)]
+    gauss = [g / sum(gauss) for g in gauss]
+    fused = dict.fromkeys(paths, 1.0)
+    length = [max(0, len(b.text) - 2 * b.linked) for b in blocks]
+    marks = [sum(c in ".,;:!?…。，、؟" for c in b.text) if len(b.text) > 2 * b.linked else 0 for b in blocks]
+    for values in (length, marks):
+        total = {p: sum(v for v, b in zip(values, blocks) if b.path == p) for p in paths}
+        nodes = Counter(b.path for b in blocks)
+        each = [total[b.path] / nodes[b.path] for b in blocks]
+        along = [sum(g * each[i + d] for g, d in zip(gauss, range(-2, 3)) if 0 <= i + d < len(each)) for i in range(len(each))]
+        ratio = {p: sum(a for a, b in zip(along, blocks) if b.path == p) / nodes[p] for p in paths}
+        for p in paths:
+            fused[p] *= (ratio[p] / max(sum(ratio.values()) / len(paths), 1e-9) + 0.05) * (total[p] / max(sum(total.values()) / len(paths), 1e-9) + 0.05)
+    return {p: fused[p] if sum(v for v, b in zip(length, blocks) if b.path == p) else 0.0 for p in paths}
+
+
+def unmarked(page):
+    """The page without anything that HTML marks: all that tells its parts apart is their text."""
+    page = page.replace('<div class="ad">', "<div class=d>")
+    page = re.sub(r"<(nav|footer|article)\b[^>]*>", lambda m: f"<div class={m[1][0]}x>", page)
+    return re.sub(r"</(nav|footer|article)>", "</div>", page)
+
+
+def test_tag_path_ratios_choose(monkeypatch):
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    for page in pages[:60]:
+        blocks = htmltext.blocks_of(page)
+        found, expected = htmltext.path_scores(blocks), plain_path_scores(blocks)
+        assert found.keys() == expected.keys() and all(abs(found[p] - expected[p]) <= 1e-6 * (1 + expected[p]) for p in found)
+    whole = [htmltext.extract(p) for p in pages]
+    chosen = [htmltext.extract(unmarked(p)) == t for p, t in zip(pages, whole)]
+    assert sum(chosen) > 0.85 * len(pages)
+    monkeypatch.setattr(htmltext, "path_scores", lambda blocks: {b.path: 1.0 for b in blocks})
+    assert sum(htmltext.extract(unmarked(p)) == t for p, t in zip(pages, whole)) < 0.05 * len(pages)
+
+
 def test_main_text_of_several_parents():
     one, two = "<p>One, two. Three, four.</p>" * 3, "<p>Five, six. Seven, eight.</p>" * 2
     text = ["One, two. Three, four."] * 3 + ["Five, six. Seven, eight."] * 2
