@@ -13,9 +13,10 @@ Flag 2: doc_id is null.  The mask is ``rotate_right(crc, 15) + 0xA282EAD8``, so
 that a checksum over data that holds checksums stays sound.
 
 Records are in ascending doc_id order (null first) within a file, and files in
-the order of their names.  Beside ``records/`` stands ``index/``, a Parquet
+the order of the numbers in their names.  Beside ``records/`` stands ``index/``, a Parquet
 table with a row per record (file, place, size, counts): a shuffled reader
-picks rows of the index and reads only those byte ranges.
+picks rows of the index, opens only the files that hold them and decodes only
+their byte ranges.
 
 Files are written and read by Spark's own text and binaryFile formats, so any
 store that Spark reaches serves, a lost task is run again, and only committed
@@ -113,8 +114,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select("path", "content")
+def _files(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    paths = f"{path}/records" if names is None else [f"{path}/records/{n}" for n in names]
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).select("path", "content")
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", target_bytes: int = TARGET_BYTES) -> None:
@@ -122,13 +124,16 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, id_c
 
     A null text counts as empty; each document ends with id 0.  Repeated and
     null doc_ids keep their rows.  Other columns are ignored.  A file gets
-    about target_bytes of text, so the number of files follows the input.
+    about target_bytes of text, so the number of files follows the input.  Rows
+    that agree in doc_id are dealt out by their texts and places, so that very many
+    of them (null ids) fill several files; their order among themselves is not defined.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text", F.monotonically_increasing_id()))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // target_bytes))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     framed = ordered.mapInArrow(_frames(tokenizer or encoder.default_tokenizer()), "frame binary")
     # A string column is written byte for byte; the line end is a record's last byte.
     framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
@@ -149,7 +154,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids_in_file"))
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    # By number: part-100000 comes behind part-99999.
+    before = W.orderBy(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), "file").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("file", F.coalesce(F.sum("ids_in_file").over(before), F.lit(0)).alias("ids_before"))
     return rows.join(sums, "file").withColumn("start", F.col("ids_before") + F.col("start_in_file")).drop("ids_before")
 
@@ -170,10 +176,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("content").mapInArrow(_decode, "doc_id long, ids array<long>")
 
 
-def read_selected(spark: SparkSession, path: str, selected: DataFrame) -> DataFrame:
-    """The records of chosen rows of the index (a sample, a shuffled epoch's slice): doc_id, ids."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+def read_selected(spark: SparkSession, path: str, selected: DataFrame, most_named: int = 10_000) -> DataFrame:
+    """The records of chosen rows of the index (a sample, a shuffled epoch's slice): doc_id, ids.
+
+    Only files that hold chosen records are opened (up to most_named of them;
+    beyond, the folder is listed), and of those only the chosen byte ranges are decoded.
+    """
     picked = selected.select("file", "byte_start", "byte_size")
-    data = _files(spark, path).withColumn("file", name).join(picked, "file")
+    names = [r[0] for r in picked.select("file").distinct().limit(most_named + 1).collect()]
+    if not names:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    data = _files(spark, path, names if len(names) <= most_named else None)
+    data = data.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1)).join(picked, "file")
     piece = F.expr("substring(content, int(byte_start) + 1, int(byte_size))")
     return data.select(piece.alias("content")).mapInArrow(_decode, "doc_id long, ids array<long>")

@@ -88,14 +88,11 @@ def test_encoder_is_the_library(tokens):
 def test_records(spark, tokens, tmp_path):
     path = f"file://{tmp_path}/r"
     records.write_records(documents(spark), path, target_bytes=4000)
-    ordered = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    start, expected = 0, []
-    for doc_id, text in ordered:
-        ids = tokens(text)
-        expected.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
-        start += len(ids) // 4
     index = records.read_index(spark, path)
-    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in index.collect()), key=lambda r: r[1]) == expected
+    found = sorted(index.collect(), key=lambda r: r.start)
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in found] == sorted((i is not None, i or 0) for i, _ in TEXTS)
+    assert [r.start for r in found] == [0, *itertools.accumulate(r.n_tokens for r in found)][:-1]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((i, len(tokens(t)) // 4, zlib.crc32(tokens(t))) for i, t in TEXTS)
     assert index.select("file").distinct().count() > 1
     whole = Counter((r.doc_id, tuple(r.ids)) for r in records.read_records(spark, path).collect())
     assert whole == Counter((i, struct.unpack(f"<{len(tokens(t)) // 4}I", tokens(t))) for i, t in TEXTS)
@@ -103,6 +100,20 @@ def test_records(spark, tokens, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in records.read_selected(spark, path, some).collect()) == Counter({k: v for k, v in whole.items() if k[0] in (5, 12)})
 
 
+def test_records_of_one_id_fill_several_files(spark, tmp_path):
+    path = f"file://{tmp_path}/r"
+    rows = spark.createDataFrame([(None, "")] * 3000 + [(7, PASSAGE)] * 60, "doc_id long, text string").repartition(4)
+    records.write_records(rows, path, target_bytes=2000)
+    assert max(r["count"] for r in records.read_index(spark, path).groupBy("file").count().collect()) < 800
+
+
+def test_files_are_ordered_by_number(spark, tmp_path):
+    names = [f"part-{i:05d}-x.txt" for i in (99998, 99999, 100000, 100001)]
+    rows = [(i, n, 0, 1, 0, 10 + i, 5) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, records.INDEX).write.parquet(f"file://{tmp_path}/index")
+    assert {r.doc_id: r.start for r in records.read_index(spark, f"file://{tmp_path}").collect()} == {0: 0, 1: 10, 2: 21, 3: 33}
+
+
 def test_damaged_records():
     data = records.frame(5, struct.pack("<3I", 1, 70_000, 0)) + records.frame(None, struct.pack("<I", 0))
     assert [(i, struct.unpack(f"<{len(x) // 4}I", x)) for i, x, _, _ in records.unframe(data)] == [(5, (1, 70_000, 0)), (None, (0,))]
