@@ -8,7 +8,8 @@ is the answer.
 
 Bundling is linear, so training only counts: a language's bundle is the sum of
 its n-gram vectors by their weight, and a few numbers per n-gram and partition
-are all that leaves a task.  Scoring bundles a batch of texts as one product of
+are all that leaves a task.  Tasks then bundle the n-grams, in integers, so that
+the sums don't depend on any order; the driver gets one vector per language.  Scoring bundles a batch of texts as one product of
 their n-gram counts with the n-grams' vectors.
 """
 
@@ -111,8 +112,13 @@ def _slices(texts: list[str | None], most: int = 1 << 19, rows: int = 512) -> It
         yield start, len(texts)
 
 
-def _counts(n: int):
-    """Per task: the weight of each n-gram in each language, every text with weight one."""
+#: Weights are counted in such parts of one.
+UNIT = 1 << 16
+
+
+def _counts(n: int, entries: int = 500_000):
+    """Per task: the weight of each n-gram in each language, every text with weight UNIT.  At most
+    about `entries` of them are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, float] = {}
@@ -128,9 +134,37 @@ def _counts(n: int):
                 for at in np.flatnonzero(weights).tolist():
                     key = (names[at // len(grams)], *grams[at % len(grams)].tolist())
                     total[key] = total.get(key, 0.0) + weights[at]
+                if len(total) >= entries:
+                    yield made(total)
+                    total = {}
         if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([str(k[0]) for k in keys]), pa.array([list(k[1:]) for k in keys], pa.list_(pa.int32())), pa.array(list(total.values()))], ["lang", "gram", "weight"])
+            yield made(total)
+
+    def made(total: dict[tuple, float]) -> pa.RecordBatch:
+        keys = list(total)
+        weights = np.rint(np.array(list(total.values())) * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([str(k[0]) for k in keys]), pa.array([list(k[1:]) for k in keys], pa.list_(pa.int32())), pa.array(weights)], ["lang", "gram", "weight"])
+
+    return run
+
+
+def _bundles(dimensions: int, n: int):
+    """Per task: lang, dimension, value of the bundle of its rows (lang, gram, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, found = Vectors(dimensions, n), {}
+        for batch in batches:
+            langs, weights = np.array(batch.column(0).to_pylist()), batch.column(2).to_numpy()
+            grams = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, n)
+            for at in range(0, len(langs), 4096):
+                some = slice(at, at + 4096)
+                bound = vectors.bind(grams[some]).astype(np.float64)
+                for lang in np.unique(langs[some]).tolist():
+                    # Whole numbers far below 2**53, so the sum is exact.
+                    own = np.rint(np.where(langs[some] == lang, weights[some], 0) @ bound).astype(np.int64)
+                    found[lang] = found.get(lang, 0) + own
+        for lang, bundle in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(bundle)], ["lang", "at", "value"])
 
     return run
 
@@ -149,28 +183,16 @@ class Profiles:
 def train(rows: DataFrame, n: int = 3, dimensions: int = 1024, text_column: str = "text", lang_column: str = "lang") -> Profiles:
     """Prototypes from all rows with a text and a language.
 
-    Only sums per language and n-gram are shuffled; the driver takes them one
-    by one, and keeps a vector per language.
+    Only sums per language and n-gram are shuffled, and then those per language and dimension.
     """
     pairs = rows.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
     pairs = pairs.select(F.col(text_column).cast("string"), F.col(lang_column).cast("string"))
-    sums = pairs.mapInArrow(_counts(n), "lang string, gram array<int>, weight double").groupBy("lang", "gram").agg(F.sum("weight").alias("weight"))
-    vectors, bundles = Vectors(dimensions, n), {}
-    block: list = []
-
-    def bundle() -> None:
-        bound = vectors.bind(np.array([r["gram"] for r in block], np.int64))
-        for lang in {r["lang"] for r in block}:
-            weight = np.array([r["weight"] if r["lang"] == lang else 0.0 for r in block])
-            bundles[lang] = bundles.get(lang, 0.0) + weight @ bound
-
-    for r in sums.orderBy("lang", "gram").toLocalIterator():
-        block.append(r)
-        if len(block) == 4096:
-            bundle()
-            block = []
-    if block:
-        bundle()
+    sums = pairs.mapInArrow(_counts(n), "lang string, gram array<int>, weight long").groupBy("lang", "gram").agg(F.sum("weight").alias("weight"))
+    parts = sums.mapInArrow(_bundles(dimensions, n), "lang string, at int, value long")
+    found = parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()  # languages times dimensions
+    bundles = {r["lang"]: np.zeros(dimensions) for r in found}
+    for r in found:
+        bundles[r["lang"]][r["at"]] = r["value"]
     langs = sorted(bundles)
     prototypes = np.array([bundles[x] / max(np.linalg.norm(bundles[x]), 1e-12) for x in langs], np.float32).reshape(len(langs), dimensions)
     return Profiles(langs, prototypes, n)
