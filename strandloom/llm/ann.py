@@ -5,7 +5,9 @@ nearest lists.  Within a list the vectors, turned by a random rotation, lie in
 blocks of columns.  After each block a hypothesis test asks whether the partial
 distance, scaled to all dimensions, can still be below the k-th best so far; a
 candidate that fails it is left.  Survivors are measured on the original
-vectors in double precision.
+vectors in double precision.  The nearest list is searched first; its k-th best
+distance goes along to the other lists, where the test rules from the first
+candidate on.
 
 The quantiser is fitted on a bounded sample; every vector is indexed.  Equal
 vectors are one entry with their k + 1 smallest ids, so a vector that a third of
@@ -92,14 +94,24 @@ def scan(query: np.ndarray, turned: np.ndarray, limit: float, block: int, epsilo
     return rows
 
 
-def search_tile(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int, turn: np.ndarray, block: int, epsilon: float, step: int = 512) -> list[tuple[int, int, float]]:
-    """(query id, vec_id, distance) of the k nearest rows of a tile for each query, but not the query's own row."""
+def search_tile(queries: np.ndarray, query_ids: np.ndarray, limits: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int, turn: np.ndarray, block: int, epsilon: float, step: int = 512, seen: dict | None = None) -> list[tuple[int, int, float]]:
+    """(query id, vec_id, distance) of the k nearest rows of a tile for each query, but not the query's own
+    row.  limits: the k-th best distance that each query knows already, or infinity; what is farther
+    is left out.  seen counts candidates, and those of them that were measured whole."""
     turned, out = vectors @ turn, []
-    for query, own, query_id in zip(queries, queries @ turn, query_ids.tolist()):
+    seen = {} if seen is None else seen
+    for query, own, query_id, limit in zip(queries, queries @ turn, query_ids.tolist(), np.square(limits).tolist()):
         best: list[tuple[float, int]] = []
-        limit = math.inf
-        for at in range(0, len(vectors), step):
-            rows = at + scan(own, turned[at : at + step], limit, block, epsilon) if limit < math.inf else np.arange(at, min(at + step, len(vectors)))
+        at = 0
+        while at < len(vectors):
+            # A few rows give the first limit; from then on the scan tests every candidate.
+            if limit < math.inf:
+                rows, stop = at + scan(own, turned[at : at + step], limit, block, epsilon), at + step
+            else:
+                stop = min(at + 2 * (k + 1), len(vectors))
+                rows = np.arange(at, stop)
+            at = stop
+            seen["whole"] = seen.get("whole", 0) + len(rows)
             if not len(rows):
                 continue
             gaps = np.sqrt(((vectors[rows] - query) ** 2).sum(1))
@@ -111,7 +123,8 @@ def search_tile(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
             best += [(gap, i) for gap, row in zip(gaps.tolist(), rows.tolist()) for i in ids[row] if i != query_id]
             best = sorted(best)[:k]
             if len(best) == k:
-                limit = best[-1][0] ** 2
+                limit = min(limit, best[-1][0] ** 2)
+        seen["all"] = seen.get("all", 0) + len(vectors)
         out += [(query_id, i, gap) for gap, i in best]
     return out
 
@@ -124,7 +137,7 @@ def _list_of(centres: np.ndarray, name: str, probes: int):
             vectors = np.array(batch.column(1).to_pylist(), np.float64)
             gaps = _gaps(vectors, centres)
             n = min(probes, len(centres))
-            near = np.argpartition(gaps, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(n), (len(vectors), 1))
+            near = np.argsort(gaps, axis=1, kind="stable")[:, :n]
             lists = pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, name])
 
@@ -136,28 +149,34 @@ def _tiles(k: int, dimensions: int, block: int, epsilon: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by tile, a tile's vectors before its queries."""
-        now, vectors, ids, queries, query_ids = None, [], [], [], []
+        now, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if vectors and queries:
-                found = search_tile(np.array(queries), np.array(query_ids), np.array(vectors), ids, k, turn, block, epsilon)
-                if found:
-                    q, v, gap = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(gap, pa.float64())], ["query_id", "vec_id", "score"])
+            kinds = np.concatenate([x[0] for x in held])
+            if kinds.all() or not kinds.any():
+                return
+            vectors, asked = np.concatenate([x[1] for x in held]), kinds == 1
+            ids = [i for x in held for i in x[2].to_pylist() if i is not None]
+            query_ids, limits = (np.concatenate([x[c] for x in held])[asked] for c in (3, 4))
+            found = search_tile(vectors[asked], query_ids.astype(np.int64), limits, vectors[~asked], ids, k, turn, block, epsilon)
+            if found:
+                q, v, gap = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(gap, pa.float64())], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            for tile in zip(*(c.to_pylist() for c in batch.columns)):
-                key, kind, vector, own_ids, query_id = tile[:3], tile[3], tile[4], tile[5], tile[6]
-                if key != now:
+            keys = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                if held and tuple(keys[start]) != now:
                     yield from close()
-                    now, vectors, ids, queries, query_ids = key, [], [], [], []
-                if kind == 0:
-                    vectors.append(vector)
-                    ids.append(own_ids)
-                else:
-                    queries.append(vector)
-                    query_ids.append(query_id)
-        yield from close()
+                    held = []
+                now = tuple(keys[start])
+                kind, vector, ids, query, limit = (c.slice(start, stop - start) for c in batch.columns[3:])
+                held.append((kind.to_numpy(), vector.flatten().to_numpy().reshape(-1, dimensions), ids, query.fill_null(0).to_numpy(), limit.fill_null(0).to_numpy()))
+        if held:
+            yield from close()
 
     return run
 
@@ -210,18 +229,27 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = 10, ever
     vectors = entries.select("ids", "vector").mapInArrow(_list_of(centres, "lists", 1), "ids array<long>, vector array<double>, lists array<int>")
     vectors = common.stored(vectors.select("ids", "vector", F.col("lists")[0].alias("list")), "lists")
     asked = asked.select("vec_id", "vector").mapInArrow(_list_of(centres, "lists", probes), "vec_id long, vector array<double>, lists array<int>")
-    asked = asked.select("vec_id", "vector", F.explode("lists").alias("list"))
+    asked = asked.select("vec_id", "vector", F.posexplode("lists").alias("turn", "list"))
     asked = common.stored(asked, "queries")
-    # At most one row per list: small and bounded by most_lists.
-    parts = vectors.groupBy("list").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("vector_parts"))
-    parts = parts.join(asked.groupBy("list").agg(F.ceil(F.count("*") / tile_queries).cast("int").alias("query_parts")), "list")
-    parts = F.broadcast(parts)
     count_up = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = vectors.join(parts, "list").withColumn("a", F.pmod(F.xxhash64("vector"), F.col("vector_parts")).cast("int")).withColumn("b", F.explode(count_up("query_parts")))
-    left = left.select("list", "a", "b", F.lit(0).alias("kind"), "vector", "ids", F.lit(None).cast("long").alias("query_id"))
-    right = asked.join(parts, "list").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("query_parts")).cast("int")).withColumn("a", F.explode(count_up("vector_parts")))
-    right = right.select("list", "a", "b", F.lit(1).alias("kind"), "vector", F.lit(None).cast("array<long>").alias("ids"), F.col("vec_id").alias("query_id"))
-    tiles = left.union(right).repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "kind")
-    found = tiles.mapInArrow(_tiles(k, dimensions, block, epsilon), "query_id long, vec_id long, score double")
+
+    def searched(wanted: DataFrame) -> DataFrame:
+        """wanted: vec_id, vector, list, limit of queries."""
+        # At most one row per list: small and bounded by most_lists.
+        parts = vectors.groupBy("list").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("vector_parts"))
+        parts = F.broadcast(parts.join(wanted.groupBy("list").agg(F.ceil(F.count("*") / tile_queries).cast("int").alias("query_parts")), "list"))
+        left = vectors.join(parts, "list").withColumn("a", F.pmod(F.xxhash64("vector"), F.col("vector_parts")).cast("int")).withColumn("b", F.explode(count_up("query_parts")))
+        left = left.select("list", "a", "b", F.lit(0).alias("kind"), "vector", "ids", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("double").alias("limit"))
+        right = wanted.join(parts, "list").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("query_parts")).cast("int")).withColumn("a", F.explode(count_up("vector_parts")))
+        right = right.select("list", "a", "b", F.lit(1).alias("kind"), "vector", F.lit(None).cast("array<long>").alias("ids"), F.col("vec_id").alias("query_id"), "limit")
+        tiles = left.union(right).repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "kind")
+        return tiles.mapInArrow(_tiles(k, dimensions, block, epsilon), "query_id long, vec_id long, score double")
+
+    unknown = F.lit(float("inf"))
+    found = common.stored(searched(asked.where("turn = 0").withColumn("limit", unknown)), "nearest-list")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    if probes > 1:
+        limits = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("limit"))
+        others = asked.where("turn > 0").join(limits, "vec_id", "left").withColumn("limit", F.coalesce("limit", unknown))
+        found = found.union(searched(others))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

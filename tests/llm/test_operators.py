@@ -532,6 +532,20 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id = 5000")).count() == 0 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_scan_abandons_most_candidates():
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 64)) * 1.5
+    data = centres[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 64))
+    asked = np.arange(0, 6000, 100)
+    exact = [np.lexsort((np.arange(6000), np.where(np.arange(6000) == q, np.inf, ((data - data[q]) ** 2).sum(1))))[:10] for q in asked]
+    best = {int(q): np.sqrt(((data[e[-1]] - data[q]) ** 2).sum()) for q, e in zip(asked, exact)}
+    for limits in (np.full(len(asked), np.inf), np.array(list(best.values()))):
+        seen = {}
+        found = ann.search_tile(data[asked], asked, limits, data, [[i] for i in range(6000)], 10, ann.rotation(64), 16, 2.1, seen=seen)
+        hits = sum((q, int(i)) in {(a, b) for a, b, _ in found} for q, e in zip(asked.tolist(), exact) for i in e)
+        assert hits >= 0.97 * 600 and seen["whole"] < 0.2 * seen["all"]
+
+
 # ---- op8
 
 def test_packing(spark, tokens):
