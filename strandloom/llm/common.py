@@ -108,6 +108,13 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, flush_rows: int = 1
         yield held
 
 
+def having(rows: DataFrame, keys: DataFrame, on: list[str], large: int = 2048, most: int = 10_000) -> DataFrame:
+    """The rows whose columns `on` are among keys (on, and n: how many rows a key has).
+    The `most` most common keys are looked up without a shuffle, so they burden no task."""
+    hot = F.broadcast(keys.where(F.col("n") > large).orderBy(F.desc("n"), *on).limit(most).select(*on))
+    return rows.join(hot, on, "left_semi").union(rows.join(hot, on, "left_anti").join(keys.select(*on), on, "left_semi"))
+
+
 def crc_mod(doc_id: str, mod: int):
     """crc32 of an id as text, modulo mod; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

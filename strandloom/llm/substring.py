@@ -10,9 +10,13 @@ repeat.  These *anchors* are what the index holds:
   occur a second time, in old texts and new;
 * runs are compacted into one once there are more than ``fanout``.
 
-Windows around such anchors are then verified: they repeat only if 128 bits of
-hash over all their words agree.  Texts that are exact copies are one row
-throughout, and counts are combined before every shuffle.
+A manifest names the runs in force; an index that is opened again goes on from
+there, so that a new batch is held against all history.
+
+Windows around such anchors are then verified: they repeat only if two hashes
+of 64 bits over all their words, from two hashes of each word, agree.  Texts that
+are exact copies are one row throughout, and counts are combined before every
+shuffle.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .texts import Texts, whole
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -73,8 +78,10 @@ def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
     return fold(x[:-rest], x[rest:]) if rest else x
 
 
-def word_hashes(text: str | bytes) -> np.ndarray:
-    words = (text.encode() if isinstance(text, str) else text).split()  # of bytes: the six ASCII spaces
+def word_hashes(text: bytes, seed: int = 0) -> np.ndarray:
+    words = text.split()  # of bytes: the six ASCII spaces
+    if seed:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -92,8 +99,8 @@ def _anchors(width: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, rows = [], []
-            for row, text in enumerate(batch.column(1)):
-                words = word_hashes(text.as_py())
+            for row, packed in enumerate(batch.column(1)):
+                words = word_hashes(whole(packed))
                 if len(words) >= width:
                     found = picks(words, width, grain)[1]
                     hashes.append(found)
@@ -106,12 +113,38 @@ def _anchors(width: int, grain: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of anchor hashes in the shared folder."""
+    """Sorted immutable runs of anchor hashes in a shared folder.
+
+    With a path the index that lies there, if there is one, is opened.  A run is in
+    force once a manifest names it: the one of the highest number counts, and what
+    it doesn't name is left from an addition that failed, or from before a compaction.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.path = path or common.scratch_path(spark, "fingerprints")
-        self.runs: list[str] = []
+        self.number, self.runs = 0, []
+        target = self._at(self.path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(target):
+            names = [s.getPath().getName() for s in files.listStatus(target)]
+            self.number = max((int(n.split("-")[1]) for n in names if n.startswith("manifest-")), default=0)
+        if self.number:
+            self.runs = [f"{self.path}/{r[0]}" for r in spark.read.text(f"{self.path}/manifest-{self.number}").collect()]
+
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _commit(self, runs: list[str]) -> None:
+        """Put a manifest of these runs in force: written beside its place, then moved there at once."""
+        draft, place = self._at(f"{self.path}/_draft-{uuid.uuid4().hex}"), self._at(f"{self.path}/manifest-{self.number + 1}")
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = files.create(draft)
+        out.write(bytearray("".join(r.rsplit("/", 1)[1] + "\n" for r in runs), "ascii"))
+        out.close()
+        if files.exists(place) or not files.rename(draft, place):
+            raise RuntimeError(f"{place.toString()} is there already: another writer is at work")
+        self.number, self.runs = self.number + 1, runs
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*paths)
@@ -119,7 +152,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(parts, "hash").sortWithinPartitions("hash").write.parquet(path)
+        # The texts of a very common hash are dealt out too.
+        rows.repartition(parts, "hash", F.pmod(F.xxhash64("text_key"), F.lit(16))).sortWithinPartitions("hash").write.parquet(path)
         return path
 
     def add_batch(self, anchors: DataFrame) -> DataFrame:
@@ -127,40 +161,43 @@ class FingerprintIndex:
         (hash, text_key), of this batch and earlier ones, whose hash is no longer alone."""
         new = self._write(anchors)
         rows = self._read([new])
-        within = rows.groupBy("hash").count().where("count > 1").select("hash")
+        counts = rows.groupBy("hash").agg(F.count("*").alias("n"))
         if not self.runs:
-            again = within
-            both = rows
+            again, both = counts.where("n > 1"), rows
         else:
             old = self._read(self.runs)
-            met = rows.select("hash").distinct().join(old.select("hash").distinct(), "hash", "left_semi")
-            again = met.union(within).distinct()
+            before = old.groupBy("hash").agg(F.count("*").alias("m"))
+            again = counts.join(before, "hash", "left").where("n > 1 or m is not null").select("hash", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
             both = rows.union(old)
-        self.runs.append(new)
         # Written, since compacting drops the runs that it is made of.
-        return common.stored(both.join(again, "hash", "left_semi"), "suspects")
+        suspects = common.stored(common.having(both, again, ["hash"]), "suspects")
+        self._commit([*self.runs, new])
+        common.free_shuffles(self.spark)
+        return suspects
 
     def compact(self) -> None:
         """Merge the runs into one.  Old runs go once the new one stands."""
         if len(self.runs) > self.fanout:
-            merged = self._write(self._read(self.runs))
-            for path in self.runs:
+            old, merged = self.runs, self._write(self._read(self.runs))
+            self._commit([merged])
+            for path in old:
                 common.drop_path(self.spark, path)
-            self.runs = [merged]
+            common.free_shuffles(self.spark)
 
 
 def _windows(width: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words = word_hashes(batch.column(1)[row].as_py())
+                text = whole(batch.column(1)[row])
+                words = word_hashes(text)
                 wanted = batch.column(2)[row].values.to_numpy().view(np.uint64)
                 least = picks(words, width, grain)[0]
                 at = np.flatnonzero(np.isin(least, wanted))
                 if not len(at):
                     continue
                 first = window_hashes(words, width, _BASES[0])[at]
-                second = window_hashes(mix(words ^ np.uint64(_BASES[1])), width, _BASES[1])[at]
+                second = window_hashes(word_hashes(text, 1), width, _BASES[1])[at]
                 keys = batch.column(0).take(pa.array(np.full(len(at), row)))
                 copies = pa.array(np.full(len(at), batch.column(3)[row].as_py()))
                 arrays = [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), keys, pa.array(at.astype(np.int32)), copies]
@@ -175,8 +212,8 @@ def _removed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, copies, places in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.encode().split()
+            for key, packed, copies, places in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
+                words = whole(packed).split()
                 n = len(words)
                 if n >= width and copies > 1:
                     kept = []
@@ -197,43 +234,51 @@ def _removed(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: int = 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: int = 3, fanout: int = 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, history: str | None = None) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the text that stays, on request).
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes if a window over it
     has the same words as a window that starts anywhere else, in any row,
     the same one included.  Null and blank texts have no words; texts shorter
     than the window lose nothing.  Repeated doc_ids are separate documents.
-    batches: in how many parts the texts enter the index.
+    batches: in how many parts the texts enter the index, which merges its runs
+    once there are more than fanout.
+
+    history: a shared folder that keeps the index and the distinct texts of all calls so
+    far.  A window then also repeats if a document of an earlier call holds it.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
-    # Distinct texts, bucketed by key: each later join moves only its own small side.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"strandloom_{uuid.uuid4().hex}", common.scratch_path(spark, "texts")
-    distinct = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    # The aggregation has dealt the rows out by the key already, into as many parts as there are buckets.
-    distinct.write.bucketBy(parts, "text_key").option("path", path).saveAsTable(name)
-    texts = spark.table(name)
-
-    index = FingerprintIndex(spark)
+    all_texts = Texts(docs, id_column, text_column)
+    texts = all_texts.table.select("text_key", "packed", "copies")
+
+    index = FingerprintIndex(spark, history and f"{history}/index", fanout)
+    earlier = spark.read.schema(texts.schema).option("recursiveFileLookup", "true").parquet(f"{history}/texts") if history and index.runs else None
     suspects = None
     for batch in range(batches):
         some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(batches)) == batch)
-        anchors = some.select("text_key", "text").mapInArrow(_anchors(width, grain), RUN)
+        anchors = some.select("text_key", "packed").mapInArrow(_anchors(width, grain), RUN)
         found = index.add_batch(anchors)
         suspects = found if suspects is None else suspects.union(found)
         index.compact()
     wanted = suspects.groupBy("text_key").agg(F.collect_set("hash").alias("hashes"))
-    near = texts.join(wanted, "text_key").select("text_key", "text", "hashes", "copies")
+    near = texts.join(wanted, "text_key").select("text_key", "packed", "hashes", "copies")
+    if earlier is not None:  # counted, not judged
+        near = near.union(earlier.join(wanted, "text_key").select("text_key", "packed", "hashes", F.lit(2).cast("long")))
     windows = near.mapInArrow(_windows(width, grain), "first long, second long, text_key binary, at int, copies long")
     windows = common.stored(windows, "windows")
-    twice = windows.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").select("first", "second")
-    places = windows.where("copies = 1").join(twice, ["first", "second"], "left_semi").groupBy("text_key").agg(F.collect_set("at").alias("places"))
-    judged = texts.join(places, "text_key", "left").select("text_key", "text", "copies", "places")
+    twice = windows.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1")
+    places = common.having(windows.where("copies = 1"), twice, ["first", "second"]).groupBy("text_key").agg(F.collect_set("at").alias("places"))
+    judged = texts.join(places, "text_key", "left").select("text_key", "packed", "copies", "places")
     judged = judged.mapInArrow(_removed(width), "text_key binary, n_words long, n_removed long, kept_sha256 string, kept string")
     if not with_text:
         judged = judged.drop("kept")
+    judged = common.stored(judged, "judged")
+    if history:
+        texts.write.mode("append").parquet(f"{history}/texts/{uuid.uuid4().hex}")
+    else:
+        common.drop_path(spark, index.path)
+    all_texts.drop()
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-    return rows.select("doc_id", "text_key").join(judged, "text_key").select(*names)
+    return rows.join(judged, "text_key").select(*names)

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, boost, common, components, decontam, encoder, htmltext, langid, nearcopies, packing, pii, records, simhash, substring, toxicity
+from strandloom.llm import ann, boost, common, components, decontam, encoder, htmltext, langid, nearcopies, packing, pii, records, simhash, substring, texts, toxicity
 
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choice("abcdefghé") for _ in range(RNG.randint(1, 6))) for _ in range(300)]
@@ -366,7 +366,7 @@ def test_candidates_lose_no_pair(spark, node_rows):
     pools = [[f"{p}{i}" for i in range(12)] for p in "abc"]
     docs = {" ".join(rng.choice(pools)[: rng.randint(1, 12)] + rng.choice(pools)[: rng.randint(0, 12)]) for _ in range(150)}
     docs = [(i, t) for i, t in enumerate(sorted(docs))]
-    pack = nearcopies.zstandard.ZstdCompressor().compress
+    pack = texts.zstandard.ZstdCompressor().compress
     rows = spark.createDataFrame([(i, int(i % 3 == 0), pack(t.encode())) for i, t in docs], "id long, settled int, packed binary").repartition(3)
     often = nearcopies.common_shingles(rows, len(docs), 5, 40)
     sets = [nearcopies.shingle_set(t.encode(), 5) for _, t in docs]
@@ -771,6 +771,21 @@ def test_runs_are_compacted(spark):
     assert met == [set(), {(2, b"a"), (2, b"b")}, {(3, b"b"), (3, b"c"), (3, b"d")}, {(9, b"d"), (9, b"e"), (7, b"e"), (7, b"f")}]
 
 
+def test_batches_are_judged_against_history(spark, tmp_path):
+    docs = TEXTS + [(80 + i, prose(20) + " " + PASSAGE[5 * i :] + " " + prose(3)) for i in range(6)] + [(91, PASSAGE), (92, prose(50))]
+    cuts, path = (0, 9, 18, len(docs)), f"file://{tmp_path}/history"
+    for start, stop in zip(cuts, cuts[1:]):
+        found = substring.remove_repeats(documents(spark, docs[start:stop]), history=path)
+        late = plain_removal([(i if at >= start else "earlier", t) for at, (i, t) in enumerate(docs[:stop])], 35)
+        assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter({k: n for k, n in late.items() if k[0] != "earlier"})
+    index = substring.FingerprintIndex(spark, f"{path}/index")
+    assert index.number >= 9 and 1 <= len(index.runs) <= 2
+    other = substring.FingerprintIndex(spark, f"{path}/index")
+    index._commit(index.runs)
+    with pytest.raises(RuntimeError):
+        other._commit(other.runs)
+
+
 def test_window_hashes_are_of_the_words():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 5, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
