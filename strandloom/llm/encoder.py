@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 END = struct.pack("<I", 0)
@@ -31,6 +33,7 @@ def default_tokenizer() -> str:
 
 def opened(path: str) -> "Encoder":
     """One encoder per worker process and tokenizer file."""
+    common.release_memory()
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
     return _OPEN[path]
@@ -45,7 +48,7 @@ class Encoder:
     changes the time and nothing else.
     """
 
-    def __init__(self, path: str, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most_bytes: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,7 +123,7 @@ class Encoder:
         return [heads[i] + joined[ends[spans[i][0]] : ends[spans[i][1] - 1]].tobytes() if i in spans else b"" for i in range(len(texts))]
 
 
-def slices(keys: pa.Array, texts: pa.Array, size: int = 4 << 20):
+def slices(keys: pa.Array, texts: pa.Array, size: int = 2 << 20):
     """(keys, texts) as lists, with about size bytes of text each, so that a batch of long texts stays small."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
     start = 0

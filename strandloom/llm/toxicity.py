@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 _GAP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -274,6 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 2000, terms: int = 4
 
 def _scored(model: Model, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_memory()
         for batch in batches:
             scores, ids, near = [], [], []
             for text in batch.column(text_at):
