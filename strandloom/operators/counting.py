@@ -25,6 +25,11 @@ def raw_counts(reads: DataFrame, params: CountParams, column: str = "seq", packe
     return kmers(reads, params.k, params.piece_len, column).groupBy("kmer").agg(F.least(F.count("*"), limit).alias("count"))
 
 
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """kmer, count: the counts of several results (a union of them) added up; they stop at 2**32 - 1."""
+    return counts.groupBy("kmer").agg(F.least(F.sum("count"), F.lit(COUNT_LIMIT).cast("long")).alias("count"))
+
+
 def exported(counts: DataFrame, params: CountParams) -> DataFrame:
     """The k-mers whose raw count lies in the range, with the count cut to count_max."""
     kept = counts.where(F.col("count").between(params.filter_min, params.filter_max))

@@ -10,7 +10,8 @@ COUNT_LIMIT = 2**32 - 1  # counts saturate here
 @dataclass(frozen=True)
 class CountParams:
     """k: window length.  A k-mer is kept if filter_min <= count <= filter_max, and its
-    count is then cut to count_max.  Values are plain integers from 1 to 2**32 - 1."""
+    count is then cut to count_max.  Values are plain integers from 1 to 2**32 - 1.
+    A filter_min above filter_max keeps nothing."""
 
     k: int
     filter_min: int = 2
@@ -25,8 +26,6 @@ class CountParams:
                 raise ValueError(f"{name} must be an integer of 1 or more, not {value!r}")
             if value > COUNT_LIMIT:
                 raise ValueError(f"{name} must be at most {COUNT_LIMIT}")
-        if self.filter_min > self.filter_max:
-            raise ValueError("filter_min must not be above filter_max")
 
     @property
     def count_bytes(self) -> int:

@@ -28,9 +28,19 @@ class Counted:
         return statistics(self.raw, self.params)
 
 
+#: Rows of a batch of reads that Spark hands to Python, so that pieces of 64 KiB make 32 MiB at most.
+BATCH_ROWS = 512
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def count(spark: SparkSession, paths: str | list[str], params: CountParams, format: str = "fasta", compression: str = "auto", mode: str = "compat", out: str | None = None) -> Counted:
-    """Count the k-mers of files; with out, also write the binary result."""
+    """Count the k-mers of files; with out, also write the binary result.
+
+    Lowers the session's Arrow batches to BATCH_ROWS rows where pieces are long.
+    """
     piece = max(params.piece_len, 1 << 16) if params.k <= 31 else params.piece_len
+    if piece > 1 << 12 and not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     reads = read_reads(spark, paths, format, compression, mode, k=params.k, piece_len=piece)
     counted = Counted(raw_counts(reads, params), params)
     if out:

@@ -7,7 +7,6 @@ taken as bases.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import canonical, kmer_pack, kmer_unpack, normalized, register_functions, revcomp, segments
-from .operators import dump, exported, histogram, histogram_totals, kmers, pieces, raw_counts, statistics
+from .operators import dump, exported, histogram, histogram_totals, kmers, merged_counts, pieces, raw_counts, statistics
 from .params import CountParams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,19 +122,18 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see: below spark.checkpoint.dir,
     or a temporary one where that is unset and the master is local."""
     if shared := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        path = f"{shared.removeprefix('file://').rstrip('/')}/strandloom-{uuid.uuid4().hex}"
-        os.makedirs(path)
-        return path
+        return f"{shared.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="strandloom-")
+    return "file://" + tempfile.mkdtemp(prefix="strandloom-")
 
 
-def _files(spark: SparkSession, reads: DataFrame, fastq: bool) -> str:
+def _files(spark: SparkSession, reads: DataFrame, fastq: bool, gz: bool = False, one_line: bool = False) -> str:
     """Each row as a record of text files."""
     folder = _folder(spark)
-    line = F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), "seq") if fastq else F.concat(F.lit(">r\n"), F.substring("seq", 1, 10), F.lit("\n"), F.substring("seq", 11, 99))
-    reads.select(line.alias("value")).write.mode("overwrite").text(f"file://{folder}/reads")
+    wrapped = F.col("seq") if one_line else F.concat(F.substring("seq", 1, 10), F.lit("\n"), F.expr("substring(seq, 11)"))
+    line = F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), "seq") if fastq else F.concat(F.lit(">r\n"), wrapped)
+    reads.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip" if gz else "none").text(f"{folder}/reads")
     return f"{folder}/reads"
 
 
@@ -151,6 +149,79 @@ def fastq_parse(spark: SparkSession, d: str) -> DataFrame:
     return raw_counts(read_reads(spark, _files(spark, dna_reads(spark, d), True), "fastq", split_bytes=4096), CountParams(7))
 
 
+def gzip_parse(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import read_reads
+
+    return raw_counts(read_reads(spark, _files(spark, dna_reads(spark, d), False, gz=True), "fasta"), CountParams(7))
+
+
+def fasta_long_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of one line each that many ranges of a file share."""
+    from .sources import read_reads
+
+    reads = dna_reads(spark, d).select(F.repeat("seq", 60).alias("seq"))
+    path = _files(spark, reads, False, one_line=True)
+    return raw_counts(read_reads(spark, path, "fasta", k=11, piece_len=100, split_bytes=1000), CountParams(11))
+
+
+def _result(spark: SparkSession, d: str, layout: str = "file") -> str:
+    """The binary result of the count command over FASTQ files."""
+    from .plans import count
+    from .sources import write_result
+
+    p, path = CountParams(7, filter_min=2), f"{_folder(spark)}/result"
+    counted = count(spark, _files(spark, dna_reads(spark, d), True), p, "fastq")
+    write_result(counted.result, path, p, layout=layout)
+    return path
+
+
+def count_command(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import read_result
+
+    return read_result(spark, _result(spark, d))
+
+
+def count_command_parts(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import read_result
+
+    return read_result(spark, _result(spark, d, "parts"))
+
+
+def count_command_stats(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import count
+
+    return count(spark, _files(spark, dna_reads(spark, d), False), CountParams(7, filter_min=2, filter_max=5), "fasta").stats
+
+
+def histo_command(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the written histogram, with their places."""
+    from .plans import histo as command
+
+    path = f"{_folder(spark)}/histo"
+    command(spark, _result(spark, d), path)
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("place", "value"))
+
+
+def dump_command(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the written dump."""
+    from .plans import dump as command
+
+    path = f"{_folder(spark)}/dump"
+    command(spark, _result(spark, d), path)
+    return spark.read.text(path)
+
+
+def filter_min_above_max(spark: SparkSession, d: str) -> DataFrame:
+    """An empty result."""
+    return _kept(7, filter_min=4, filter_max=2)(spark, d)
+
+
+def saturated_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Results of many runs added up, beyond the limit of a count."""
+    counts = raw_counts(dna_reads(spark, d), CountParams(4)).withColumn("count", F.col("count") * 30_000_000)
+    return merged_counts(counts.unionByName(counts))
+
+
 def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from .sources import read_result, write_result
 
@@ -163,15 +234,16 @@ def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """The count over a stream of the table's file, taken to its end."""
     from .streaming import stream_counts as counted
+    from .streaming import write_counts
 
-    path = f"{d}/documents.parquet"
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(f"{path}*").where("text is not null")
+    source, path = f"{d}/documents.parquet", f"{_folder(spark)}/stream"
+    schema = spark.read.parquet(source).schema
+    rows = spark.readStream.schema(schema).parquet(f"{source}*").where("text is not null")
     reads = rows.select(F.translate(F.md5("text"), *_HEX).alias("seq"))
-    name = "strandloom_stream"
-    run = counted(reads, CountParams(7)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run = write_counts(counted(reads, CountParams(7)), path).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    return spark.read.schema("kmer string, count long").parquet(f"{path}/trigger-{last}")
 
 
 def queries() -> dict[str, Query]:
@@ -207,6 +279,15 @@ def queries() -> dict[str, Query]:
         "fasta_parse": fasta_parse,
         "fastq_parse": fastq_parse,
         "binary_roundtrip": binary_roundtrip,
+        "gzip_parse": gzip_parse,
+        "fasta_long_records": fasta_long_records,
+        "count_command": count_command,
+        "count_command_parts": count_command_parts,
+        "count_command_stats": count_command_stats,
+        "histo_command": histo_command,
+        "dump_command": dump_command,
+        "filter_min_above_max": filter_min_above_max,
+        "saturated_counts": saturated_counts,
         "stream_counts": stream_counts,
     }
 
@@ -263,5 +344,15 @@ def oracle_sql() -> dict[str, str]:
         "fasta_parse": raw7 + "SELECT * FROM raw",
         "fastq_parse": raw7 + "SELECT * FROM raw",
         "binary_roundtrip": raw7 + 'SELECT kmer, least("count", 255) AS "count" FROM raw WHERE "count" >= 2',
+        "gzip_parse": raw7 + "SELECT * FROM raw",
+        "fasta_long_records": _counted(f"SELECT repeat(seq, 60) AS seq FROM ({dna})", 11) + "SELECT * FROM raw",
+        "count_command": raw7 + 'SELECT kmer, least("count", 255) AS "count" FROM raw WHERE "count" >= 2',
+        "count_command_parts": raw7 + 'SELECT kmer, least("count", 255) AS "count" FROM raw WHERE "count" >= 2',
+        "count_command_stats": raw7 + 'SELECT CAST(coalesce(sum("count"), 0) AS BIGINT) AS total_kmers, count(*) AS unique_kmers, count(*) FILTER (WHERE "count" BETWEEN 2 AND 5) AS exported_unique_kmers FROM raw',
+        "histo_command": raw7 + ", bins AS (" + bins.format('SELECT least("count", 255) AS "count" FROM raw WHERE "count" >= 2') + """)
+            SELECT CAST(row_number() OVER (ORDER BY "count") - 1 AS INTEGER) AS place, CAST("count" AS VARCHAR) || chr(9) || CAST(n_kmers AS VARCHAR) AS value FROM bins""",
+        "dump_command": raw7 + "SELECT kmer || chr(9) || CAST(least(\"count\", 255) AS VARCHAR) AS value FROM raw WHERE \"count\" >= 2",
+        "filter_min_above_max": raw7 + 'SELECT * FROM raw WHERE "count" >= 4 AND "count" <= 2',
+        "saturated_counts": _counted(dna, 4) + 'SELECT kmer, least(2 * "count" * 30000000, 4294967295) AS "count" FROM raw',
         "stream_counts": raw7 + "SELECT * FROM raw",
     }

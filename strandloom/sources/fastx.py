@@ -10,49 +10,149 @@ right after a header always belongs to the read, even if it begins with ``>``.
 In FASTQ a line is a read if the line before begins with ``@`` and the one after
 with ``+``.
 
-Plain files are read in ranges of split_bytes by many tasks: a range takes the
-records that begin in it.  A gzip file is one task.  A record is passed on piece
-by piece, so its length does not bound memory where k is given.
+Plain files are read in ranges of split_bytes by many tasks.  Without k a range takes
+the records that begin in it.  With k a FASTA range takes the windows of k signs that
+start in it, wherever their record began, so that one long record, even of a single
+line, is read by many tasks in pieces of bounded size; in parts behind the first the
+header is null and the offset is where the range begins.  A gzip file is one task.
 """
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import files
+
 SCHEMA = "file string, offset long, piece long, header string, seq string"
 BLOCK = 1 << 20
 
 
-def lines_of(stream, at: int = 0) -> Iterator[tuple[int, bytes, bytes]]:
-    """(offset, line, line end) of a byte stream, with bounded memory for lines of ordinary length."""
-    held, ended = b"", False
+_END = re.compile(rb"\r\n?|\n")
+
+
+def parts_of(stream, at: int = 0) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+    """(offset of the line, offset of the part, bytes, line end or None if the line goes on): lines in
+    parts of at most a block.  Each byte is looked at once."""
+    line, inside, held, ended = at, False, b"", False
     while not ended:
         block = stream.read(BLOCK)
         ended = not block
-        held += block
+        block, held = held + block, b""
+        if not ended and block.endswith(b"\r"):
+            block, held = block[:-1], b"\r"  # the next block may begin with \n
         start = 0
-        while True:
-            n, r = held.find(b"\n", start), held.find(b"\r", start)
-            if r >= 0 and (n < 0 or r < n):
-                if r + 1 == len(held) and not ended:
-                    break  # the next block may begin with \n
-                size = 2 if held[r + 1 : r + 2] == b"\n" else 1
-                end = r
-            elif n >= 0:
-                end, size = n, 1
-            else:
+        for end in _END.finditer(block):
+            yield line, at + start, block[start : end.start()], end[0]
+            start, inside, line = end.end(), False, at + end.end()
+        if start < len(block):
+            yield line, at + start, block[start:], None
+            inside = True
+        at += len(block)
+    if inside:
+        yield line, at, b"", b""
+
+
+def lines_of(stream, at: int = 0) -> Iterator[tuple[int, bytes, bytes]]:
+    """(offset, line, line end) of a byte stream."""
+    held: list[bytes] = []
+    for offset, _, data, end in parts_of(stream, at):
+        held.append(data)
+        if end is not None:
+            yield offset, b"".join(held), end
+            held = []
+
+
+def line_start(stream, at: int) -> int:
+    """The start of the line that holds the byte at `at`."""
+    while at:
+        low = max(0, at - BLOCK)
+        stream.seek(low)
+        block = stream.read(at - low)
+        found = max(block.rfind(b"\n"), block.rfind(b"\r"))
+        if found >= 0:
+            return low + found + 1
+        at = low
+    return 0
+
+
+def _byte(stream, at: int) -> bytes:
+    stream.seek(at)
+    return stream.read(1)
+
+
+def _before(stream, start: int) -> int:
+    """The start of the line before the one that starts there."""
+    end = start - 1
+    if end and _byte(stream, end) == b"\n" and _byte(stream, end - 1) == b"\r":
+        end -= 1
+    return line_start(stream, end)
+
+
+def is_header(stream, start: int, strict: bool) -> bool:
+    """Whether the line that starts there is a header: of lines in a row that begin with ``>``
+    every other one is, unless strict."""
+    if _byte(stream, start) != b">":
+        return False
+    before = 0
+    while not strict and start and _byte(stream, start := _before(stream, start)) == b">":
+        before += 1
+    return before % 2 == 0
+
+
+def _after_header(stream, start: int) -> bool:
+    """Whether any header stands before the line that starts there."""
+    stream.seek(0)
+    return any(line == at and data[:1] == b">" for line, at, data, _ in parts_of(_Limited(stream, start)))
+
+
+def fasta_windows(stream, begin: int, stop: int | None, k: int, piece_len: int, strict: bool = False) -> Iterator[tuple[int, int, bytes | None, bytes]]:
+    """(offset, number, header, piece): pieces in which each window of k signs (line breaks don't count)
+    that starts in [begin, stop) occurs once.  A record that begins in the range has a piece 0."""
+    if begin and _byte(stream, begin) == b"\n" and _byte(stream, begin - 1) == b"\r":
+        begin += 1
+    start = line_start(stream, begin)
+    marked = is_header(stream, start, strict)
+    # Whether a read goes on here, and whether its first line is one that looks like a header.
+    going = begin > 0 and not marked and _after_header(stream, start)
+    after = going and _byte(stream, start) == b">"
+    offset, number, header, title, late = begin, 1, None, [], 0
+    pieces, in_header = Cutter(k, piece_len, False), False
+    stop = float("inf") if stop is None else stop
+    stream.seek(start)
+    for line, at, data, end in parts_of(stream, start):
+        if line == at:
+            in_header, after = data[:1] == b">" and not after, False
+            if in_header or not going and line >= stop:
+                for piece in pieces.finish() if going else ():
+                    yield offset, number, header, piece
+                    number += 1
+                if line >= stop:
+                    return
+                going, title = False, []
+        if in_header:
+            title.append(data)
+            if end is not None:
+                begun = line >= begin
+                going, after, late = True, not strict, 0
+                offset, number, header = (line, 0, b"".join(title)[1:]) if begun else (begin, 1, None)
+                pieces = Cutter(k, piece_len, begun)
+        elif going:
+            own = data[max(0, begin - at) : max(0, stop - at) if stop < at + len(data) else None]
+            more = data[max(0, stop - at) :][: k - 1 - late] if stop < at + len(data) else b""
+            late += len(more)
+            for piece in pieces.add(own + more):
+                yield offset, number, header, piece
+                number += 1
+            if at + len(data) > stop and late >= k - 1:
                 break
-            yield at + start, held[start:end], held[end : end + size]
-            start = end + size
-        held, at = held[start:], at + start
-    if held:
-        yield at, held, b""
+    for piece in pieces.finish() if going else ():
+        yield offset, number, header, piece
+        number += 1
 
 
 def fasta_records(lines: Iterator[tuple[int, bytes, bytes]], strict: bool = False, begin: int = 0, stop: int | None = None) -> Iterator[tuple[int, bytes, Iterator[bytes]]]:
@@ -95,32 +195,51 @@ def fastq_records(lines: Iterator[tuple[int, bytes, bytes]], begin: int = 0, sto
         two, one = one, row
 
 
+class Cutter:
+    """Cuts what is added into pieces of at most `size` signs in which each window of k occurs once.
+    A read that begins here has a piece even if it is shorter than k."""
+
+    def __init__(self, k: int, size: int, begins: bool = True):
+        self.k, self.size, self.owed = k, max(size, 2 * k), begins
+        self.held, self.n = [], 0
+
+    def add(self, data: bytes) -> Iterator[bytes]:
+        self.held.append(data)
+        self.n += len(data)
+        if self.n > self.size + (1 << 16):
+            yield from self._full()
+
+    def _full(self) -> Iterator[bytes]:
+        held, at = b"".join(self.held), 0
+        while len(held) - at > self.size:
+            yield held[at : at + self.size]
+            at, self.owed = at + self.size - self.k + 1, False
+        self.held = [held[at:]]
+        self.n = len(held) - at
+
+    def finish(self) -> Iterator[bytes]:
+        yield from self._full()
+        if self.owed or self.n >= self.k:
+            yield self.held[0]
+
+
 def cut(parts: Iterator[bytes], k: int | None, piece_len: int) -> Iterator[bytes]:
     """A read whole, or in pieces of at most piece_len bases in which each window of k occurs once."""
     if not k:
         yield b"".join(parts)
         return
-    size, held, first = max(piece_len, 2 * k), b"", True
+    pieces = Cutter(k, piece_len)
     for part in parts:
-        held += part.translate(None, b"\r\n")
-        while len(held) > size:
-            yield held[:size]
-            held, first = held[size - k + 1 :], False
-    if first or len(held) >= k:
-        yield held
+        yield from pieces.add(part.translate(None, b"\r\n"))
+    yield from pieces.finish()
 
 
 def _back_to_line(stream, at: int) -> int:
     """The start of the line before the one that `at` lies in (0 if there is none)."""
-    for step in (1 << 12, 1 << 16, 1 << 20, 1 << 26, at):
-        low = max(0, at - step)
-        stream.seek(low)
-        rows = list(lines_of(_Limited(stream, at - low), low))
-        if low == 0:
-            return rows[-2][0] if len(rows) > 1 else 0
-        if len(rows) > 3:
-            return rows[-2][0]
-    return 0
+    if _byte(stream, at) == b"\n" and _byte(stream, at - 1) == b"\r":
+        at -= 1
+    start = line_start(stream, at)
+    return _before(stream, start) if start else 0
 
 
 class _Limited:
@@ -138,10 +257,6 @@ class FileRange(InputPartition):
         self.path, self.begin, self.stop, self.packed = path, begin, stop, packed
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 class FastxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -156,24 +271,14 @@ class FastxReader(DataSourceReader):
         self.piece_len = int(options.get("piece_len", 1000))
         self.split = int(options.get("split_bytes", 64 << 20))
 
-    def _files(self) -> list[str]:
-        found = []
-        for path in self.options["path"].split(","):
-            path = _local(path)
-            if os.path.isdir(path):
-                found += sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_")))
-            else:
-                found += sorted(glob.glob(path)) or [path]
-        return found
-
     def partitions(self) -> list[FileRange]:
         out = []
-        for path in self._files():
+        for path in (f for p in self.options["path"].split(",") for f in files.listed(p)):
             packed = self.compression == "gzip"
             if self.compression == "auto":
-                with open(path, "rb") as f:
+                with files.opened(path) as f:
                     packed = f.read(2) == b"\x1f\x8b"
-            size = os.path.getsize(path)
+            size = files.size(path)
             if packed or size <= self.split:
                 out.append(FileRange(path, 0, None, packed))
             else:
@@ -182,20 +287,24 @@ class FastxReader(DataSourceReader):
         return out
 
     def read(self, partition: FileRange) -> Iterator[tuple]:
-        opened = gzip.open if partition.packed else open  # gzip: members in a row are read on, a cut-off one raises
-        with opened(partition.path, "rb") as stream:
-            at = _back_to_line(stream, partition.begin) if partition.begin else 0
-            if partition.begin:
-                stream.seek(at)
-            lines = lines_of(stream, at)
-            if self.format == "fasta":
-                records = fasta_records(lines, self.strict, partition.begin, partition.stop)
-            else:
-                records = fastq_records(lines, partition.begin, partition.stop)
-            for offset, header, parts in records:
-                title = header.decode("utf-8", "replace")
-                for number, seq in enumerate(cut(parts, self.k, self.piece_len)):
-                    yield partition.path, offset, number, title, seq.decode("latin-1")
+        with files.opened(partition.path) as stream:
+            if partition.packed:
+                stream = gzip.open(stream)  # members in a row are read on, a cut-off one raises
+            for offset, number, header, seq in self._pieces(stream, partition.begin, partition.stop):
+                yield partition.path, offset, number, None if header is None else header.decode("utf-8", "replace"), seq.decode("latin-1")
+
+    def _pieces(self, stream, begin: int, stop: int | None) -> Iterator[tuple[int, int, bytes | None, bytes]]:
+        if self.k and self.format == "fasta":
+            yield from fasta_windows(stream, begin, stop, self.k, self.piece_len, self.strict)
+            return
+        at = _back_to_line(stream, begin) if begin else 0
+        if begin:
+            stream.seek(at)
+        lines = lines_of(stream, at)
+        records = fasta_records(lines, self.strict, begin, stop) if self.format == "fasta" else fastq_records(lines, begin, stop)
+        for offset, header, parts in records:
+            for number, seq in enumerate(cut(parts, self.k, self.piece_len)):
+                yield offset, number, header, seq
 
 
 class FastxSource(DataSource):

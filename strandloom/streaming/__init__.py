@@ -18,4 +18,14 @@ def stream_counts(reads: DataFrame, params: CountParams, column: str = "seq") ->
     return raw_counts(reads, params, column)
 
 
-__all__ = ["stream_counts"]
+def write_counts(counts: DataFrame, path: str):
+    """A query that keeps the latest counts of a stream as Parquet below path: each trigger writes a
+    folder of its own, and drops none, so a reader of the one before is not disturbed."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/trigger-{number}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+
+
+__all__ = ["stream_counts", "write_counts"]

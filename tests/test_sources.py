@@ -2,16 +2,22 @@
 
 import gzip
 import io
+import os
 import random
+import time
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandloom.operators import raw_counts
 from strandloom.params import CountParams
 from strandloom.plans import count, dump, histo
 from strandloom.sources import read_header, read_reads, read_result, write_dump, write_histogram, write_result
-from strandloom.sources.fastx import cut, fasta_records, fastq_records, lines_of
-from strandloom.sources.kmerbin import decode_record, encode_record
+from strandloom.sources import fastx, files
+from strandloom.sources.fastx import cut, fasta_records, fasta_windows, fastq_records, lines_of
+from strandloom.sources.kmerbin import decode, encode
 
 FASTA = b"---\n>\n\n>-->-\nAACCGGTT\n>\nACGT\n>\n\rAA\nCC\r\nGG\rTT\n\n\n>\n\r\n\rACGT\r\n\n\rTGCA"
 READS = [b"", b"AACCGGTT", b"ACGT", b"\rAA\nCC\r\nGG\rTT\n\n", b"\r\n\rACGT\r\n\n\rTGCA"]
@@ -58,6 +64,54 @@ def test_ranges_agree_with_the_whole(spark, tmp_path):
             assert sorted(tuple(r)[1:] for r in read_reads(spark, str(path), kind, split_bytes=size).collect()) == whole
 
 
+def windows(pieces, k):
+    return Counter(p[i : i + k] for p in pieces for i in range(len(p) - k + 1))
+
+
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_ranges_share_out_windows(monkeypatch, block):
+    monkeypatch.setattr(fastx, "BLOCK", block)
+    rng = random.Random(6)
+    for turn in range(60):
+        words = [">", ">x\n", ">a\r\n", "\r", "\n", "\r\n", "ACG", "TTGCA", "N", ">>\n"]
+        text = "".join(rng.choice(words) for _ in range(rng.randint(0, 60))).encode()
+        if turn % 5 == 0:
+            text = b">one\n" + bytes(rng.choice(b"ACGT") for _ in range(300))
+        for strict in (False, True):
+            records = [(o, h, b"".join(p)) for o, h, p in fasta_records(lines_of(io.BytesIO(text)), strict)]
+            for k in (1, 4):
+                expected = sum((windows([seq.translate(None, b"\r\n")], k) for _, _, seq in records), Counter())
+                for step in (7, 40, 10_000):
+                    edges = [*range(0, max(len(text), 1), step), None]
+                    found = [x for a, b in zip(edges, edges[1:]) for x in fasta_windows(io.BytesIO(text), a, b, k, 12, strict)]
+                    assert windows([p for *_, p in found], k) == expected
+                    assert sorted((o, h) for o, n, h, _ in found if n == 0) == sorted((o, h) for o, h, _ in records)
+
+
+def test_a_long_line_takes_linear_time(tmp_path):
+    path = str(tmp_path / "long.fa")
+    with open(path, "wb") as f:
+        f.write(b">long\n")
+        for _ in range(48):
+            f.write(b"ACGTTGCA" * (1 << 17))
+    reader = fastx.FastxReader({"path": path, "k": "25", "piece_len": "65536", "split_bytes": str(8 << 20)})
+    parts, begin = reader.partitions(), time.time()
+    assert len(parts) == 7
+    total = sum(len(seq) - 24 for p in parts for *_, seq in reader.read(p))
+    assert total == (48 << 20) - 24 and time.time() - begin < 20
+
+
+def test_files(tmp_path):
+    (tmp_path / "b.fa").write_text("x")
+    (tmp_path / "a.fa").write_text("xy")
+    (tmp_path / ".hidden").write_text("x")
+    for path in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/*.fa"):
+        assert [f.rsplit("/", 1)[1] for f in files.listed(path)] == ["a.fa", "b.fa"]
+    assert files.size(f"file://{tmp_path}/a.fa") == 2 and files.listed("/no/such") == ["/no/such"]
+    with pytest.raises(FileNotFoundError):
+        files.size("/no/such")
+
+
 def test_gzip(spark, tmp_path):
     a, b = b">a\nACGTA\n", b">b\nTTGCA\n"
     (tmp_path / "x.gz").write_bytes(gzip.compress(a) + gzip.compress(b))
@@ -82,8 +136,33 @@ def test_binary_goldens(spark, tmp_path):
         assert len(raw) == 32 + len(expected) * (9 + width) and data in raw
         assert read_header(path) == CountParams(33, count_max=count_max, filter_min=filter_min)
         assert {r["count"] for r in read_result(spark, path).collect()} == expected
-    p = CountParams(5, count_max=70_000)
-    assert decode_record(encode_record("GATTC", 66_000, p), p) == ("GATTC", 66_000)
+
+
+def test_records_are_those_of_whole_numbers():
+    rng = random.Random(3)
+    for k, most in ((1, 255), (4, 255), (5, 70_000), (31, 300), (33, 2**32 - 1), (67, 255)):
+        p = CountParams(k, count_max=most)
+        rows = [("".join(rng.choice("ACGT") for _ in range(k)), rng.randint(1, most)) for _ in range(50)]
+        plain = b"".join(int(s.translate(str.maketrans("ACGT", "0123")), 4).to_bytes(p.kmer_bytes, "little") + n.to_bytes(p.count_bytes, "little") for s, n in rows)
+        kmers = pa.array(["x"] + [s for s, _ in rows]).slice(1)
+        assert encode(kmers, np.array([n for _, n in rows]), p) == plain
+        assert [tuple(r.values()) for r in decode(plain, p).to_pylist()] == rows
+        assert encode(kmers.slice(0, 0), np.zeros(0, np.int64), p) == b"" and decode(b"", p).num_rows == 0
+    for kmer, n in (("ACG", 1), ("ACGN", 1), ("ACGT", 256)):
+        with pytest.raises(ValueError):
+            encode(pa.array([kmer]), np.array([n]), CountParams(4))
+
+
+def test_a_folder_of_parts(spark, tmp_path):
+    p = CountParams(4, filter_min=1)
+    rows = spark.createDataFrame([("ACGT", 3), ("AAAA", 1), ("CCCC", 255)], "kmer string, count long")
+    for name, df in (("some", rows.repartition(3)), ("none", rows.limit(0))):
+        path = str(tmp_path / name)
+        for _ in range(2):
+            write_result(df, path, p, overwrite=True, layout="parts")
+        assert read_header(path) == CountParams(4, filter_min=1)
+        assert sorted(map(tuple, read_result(spark, path).collect())) == sorted(map(tuple, df.collect()))
+    assert not [f for f in os.listdir(tmp_path) if "parts" in f]
 
 
 def test_damaged_binary(spark, tmp_path):
