@@ -29,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .texts import Texts, whole
+from .texts import Texts, text_id, text_rest, whole
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-RUN = "hash long, text_key binary"
+#: id: the first 64 bits of a text's md5.
+RUN = "hash long, id long"
 
 
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +108,8 @@ def _anchors(width: int, grain: int):
                     hashes.append(found)
                     rows.append(np.full(len(found), row))
             if hashes:
-                keys = batch.column(0).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), keys], ["hash", "text_key"])
+                ids = batch.column(0).to_numpy()[np.concatenate(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(ids)], ["hash", "id"])
 
     return run
 
@@ -153,12 +155,12 @@ class FingerprintIndex:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # The texts of a very common hash are dealt out too.
-        rows.repartition(parts, "hash", F.pmod(F.xxhash64("text_key"), F.lit(16))).sortWithinPartitions("hash").write.parquet(path)
+        rows.repartition(parts, "hash", F.pmod("id", F.lit(16))).sortWithinPartitions("hash").write.parquet(path)
         return path
 
     def add_batch(self, anchors: DataFrame) -> DataFrame:
         """Write a run and merge-join it with the runs before.  Returns the rows
-        (hash, text_key), of this batch and earlier ones, whose hash is no longer alone."""
+        (hash, id), of this batch and earlier ones, whose hash is no longer alone."""
         new = self._write(anchors)
         rows = self._read([new])
         counts = rows.groupBy("hash").agg(F.count("*").alias("n"))
@@ -185,23 +187,30 @@ class FingerprintIndex:
             common.free_shuffles(self.spark)
 
 
-def _windows(width: int, grain: int):
+def _windows(width: int, grain: int, hot: np.ndarray, wants_hot: bool):
+    """first, second (hashes of a window's words), id, and in one number the rest of the text's md5 and the
+    place: of windows whose piece is wanted, and (wants_hot) is or is not among the hot ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, rests, copies = (batch.column(i).to_numpy() for i in (0, 1, 4))
             for row in range(batch.num_rows):
-                text = whole(batch.column(1)[row])
+                text = whole(batch.column(2)[row])
                 words = word_hashes(text)
-                wanted = batch.column(2)[row].values.to_numpy().view(np.uint64)
+                wanted = batch.column(3)[row].values.to_numpy().view(np.uint64)
+                wanted = wanted[np.isin(wanted, hot) == wants_hot]
+                if len(words) < width or not len(wanted):
+                    continue
                 least = picks(words, width, grain)[0]
                 at = np.flatnonzero(np.isin(least, wanted))
                 if not len(at):
                     continue
                 first = window_hashes(words, width, _BASES[0])[at]
                 second = window_hashes(word_hashes(text, 1), width, _BASES[1])[at]
-                keys = batch.column(0).take(pa.array(np.full(len(at), row)))
-                copies = pa.array(np.full(len(at), batch.column(3)[row].as_py()))
-                arrays = [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), keys, pa.array(at.astype(np.int32)), copies]
-                yield pa.RecordBatch.from_arrays(arrays, ["first", "second", "text_key", "at", "copies"])
+                # Texts that have copies are only counted.
+                places = (int(rests[row]) << 32) + at if copies[row] == 1 else np.full(len(at), -1)
+                arrays = [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(len(at), ids[row])), pa.array(places)]
+                yield pa.RecordBatch.from_arrays(arrays, ["first", "second", "id", "place"])
 
     return run
 
@@ -234,7 +243,7 @@ def _removed(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: int = 3, fanout: int = 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, history: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: int = 3, fanout: int = 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, history: str | None = None, hot_rows: int = 2048, most_hot: int = 10_000) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the text that stays, on request).
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes if a window over it
@@ -244,6 +253,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
     batches: in how many parts the texts enter the index, which merges its runs
     once there are more than fanout.
 
+    hot_rows: pieces that more texts hold, the most_hot most common ones, go a way of their own.
+
     history: a shared folder that keeps the index and the distinct texts of all calls so
     far.  A window then also repeats if a document of an earlier call holds it.
     """
@@ -257,18 +268,35 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
     suspects = None
     for batch in range(batches):
         some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(batches)) == batch)
-        anchors = some.select("text_key", "packed").mapInArrow(_anchors(width, grain), RUN)
+        anchors = some.select(text_id("text_key").alias("id"), "packed").mapInArrow(_anchors(width, grain), RUN)
         found = index.add_batch(anchors)
         suspects = found if suspects is None else suspects.union(found)
         index.compact()
-    wanted = suspects.groupBy("text_key").agg(F.collect_set("hash").alias("hashes"))
-    near = texts.join(wanted, "text_key").select("text_key", "packed", "hashes", "copies")
+    # Pieces that very many texts hold; at most most_hot of them.
+    often = suspects.groupBy("hash").agg(F.countDistinct("id").alias("n")).where(F.col("n") > hot_rows)
+    hot = np.array([r[0] for r in often.orderBy(F.desc("n"), "hash").limit(most_hot).collect()], np.int64)
+    listed = F.broadcast(spark.createDataFrame([(h, 1) for h in hot.tolist()], "hash long, hot int"))
+    wanted = suspects.join(listed, "hash", "left").groupBy("id").agg(F.collect_set("hash").alias("hashes"), F.max("hot").alias("hot"))
+    keys = texts.select("text_key", text_id("text_key").alias("id"), text_rest("text_key").alias("rest"))
+    chosen = common.stored(wanted.join(keys, "id").select("text_key", "id", "rest", "hashes", "hot"), "wanted")
+    near = texts.join(chosen, "text_key").select("id", "rest", "packed", "hashes", "copies", "hot")
     if earlier is not None:  # counted, not judged
-        near = near.union(earlier.join(wanted, "text_key").select("text_key", "packed", "hashes", F.lit(2).cast("long")))
-    windows = near.mapInArrow(_windows(width, grain), "first long, second long, text_key binary, at int, copies long")
-    windows = common.stored(windows, "windows")
-    twice = windows.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1")
-    places = common.having(windows.where("copies = 1"), twice, ["first", "second"]).groupBy("text_key").agg(F.collect_set("at").alias("places"))
+        old = earlier.withColumn("id", text_id("text_key")).join(wanted, "id")
+        near = near.union(old.select("id", F.lit(0).cast("long"), "packed", "hashes", F.lit(2).cast("long"), "hot"))
+    shape = "first long, second long, id long, place long"
+    # Windows of ordinary pieces are counted where they meet; those of hot ones are combined
+    # before they do, and the most common of them are then looked up without a shuffle.
+    cold = near.drop("hot").mapInArrow(_windows(width, grain, hot.view(np.uint64), False), shape)
+    met = F.count("*").over(W.partitionBy("first", "second"))
+    again = cold.withColumn("n", met).where("n > 1 and place >= 0").select("id", "place")
+    if len(hot):
+        common_ones = common.stored(near.where("hot = 1").drop("hot").mapInArrow(_windows(width, grain, hot.view(np.uint64), True), shape), "windows")
+        twice = common_ones.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1")
+        again = again.union(common.having(common_ones.where("place >= 0"), twice, ["first", "second"]).select("id", "place"))
+    rest, at = F.shiftrightunsigned("place", 32).alias("rest"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
+    places = again.select("id", rest, at).groupBy("id", "rest").agg(F.collect_set("at").alias("places"))
+    places = common.stored(places.join(chosen.select("text_key", "id", "rest"), ["id", "rest"]).select("text_key", "places"), "places")
+    common.free_shuffles(spark)
     judged = texts.join(places, "text_key", "left").select("text_key", "packed", "copies", "places")
     judged = judged.mapInArrow(_removed(width), "text_key binary, n_words long, n_removed long, kept_sha256 string, kept string")
     if not with_text:

@@ -39,6 +39,16 @@ def whole(packed: pa.BinaryScalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed.as_py()) if packed.is_valid else b""
 
 
+def text_id(text_key: str) -> Column:
+    """The first 64 bits of a text's md5."""
+    return F.conv(F.hex(F.substring(text_key, 1, 8)), 16, -10).cast("long")
+
+
+def text_rest(text_key: str) -> Column:
+    """The next 31 bits of a text's md5."""
+    return F.conv(F.hex(F.substring(text_key, 9, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << 31) - 1))
+
+
 class Texts:
     """Distinct texts in buckets of their md5: text_key, first_id, row (the columns of keep in the first row), packed, copies."""
 

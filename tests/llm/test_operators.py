@@ -756,19 +756,22 @@ def test_substring_dedup(spark, batches):
         found = substring.remove_repeats(documents(spark, docs), width, grain, batches, with_text=True)
         assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(docs, width)
         assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in found.collect())
+        for most in (1, 50):
+            found = substring.remove_repeats(documents(spark, docs), width, grain, batches, hot_rows=2, most_hot=most)
+            assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(docs, width)
     assert substring.remove_repeats(documents(spark).limit(0)).count() == 0
 
 
 def test_runs_are_compacted(spark):
     index = substring.FingerprintIndex(spark, fanout=2)
-    batches = [[(1, b"a"), (2, b"a")], [(2, b"b"), (3, b"b")], [(3, b"c"), (3, b"d"), (9, b"d")], [(9, b"e"), (7, b"e"), (7, b"f")]]
+    batches = [[(1, 50), (2, 50)], [(2, 51), (3, 51)], [(3, 52), (3, 53), (9, 53)], [(9, 54), (7, 54), (7, 55)]]
     met = []
     for rows in batches:
         found = index.add_batch(spark.createDataFrame(rows, substring.RUN))
-        met.append({(r.hash, bytes(r.text_key)) for r in found.collect()})
+        met.append({(r.hash, r.id) for r in found.collect()})
         index.compact()
         assert len(index.runs) <= 2
-    assert met == [set(), {(2, b"a"), (2, b"b")}, {(3, b"b"), (3, b"c"), (3, b"d")}, {(9, b"d"), (9, b"e"), (7, b"e"), (7, b"f")}]
+    assert met == [set(), {(2, 50), (2, 51)}, {(3, 51), (3, 52), (3, 53)}, {(9, 53), (9, 54), (7, 54), (7, 55)}]
 
 
 def test_batches_are_judged_against_history(spark, tmp_path):
