@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
     batches: in how many parts the texts enter the index, which merges its runs
     once there are more than fanout.
 
-    hot_rows: pieces that more texts hold, the most_hot most common ones, go a way of their own.
+    hot_rows: pieces that stand in more places, the most_hot most common ones, go a way of their own.
 
     history: a shared folder that keeps the index and the distinct texts of all calls so
     far.  A window then also repeats if a document of an earlier call holds it.
@@ -272,8 +272,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
         found = index.add_batch(anchors)
         suspects = found if suspects is None else suspects.union(found)
         index.compact()
-    # Pieces that very many texts hold; at most most_hot of them.
-    often = suspects.groupBy("hash").agg(F.countDistinct("id").alias("n")).where(F.col("n") > hot_rows)
+    # Pieces that stand in very many places; at most most_hot of them.
+    often = suspects.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
     hot = np.array([r[0] for r in often.orderBy(F.desc("n"), "hash").limit(most_hot).collect()], np.int64)
     listed = F.broadcast(spark.createDataFrame([(h, 1) for h in hot.tolist()], "hash long, hot int"))
     wanted = suspects.join(listed, "hash", "left").groupBy("id").agg(F.collect_set("hash").alias("hashes"), F.max("hot").alias("hot"))

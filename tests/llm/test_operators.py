@@ -756,7 +756,7 @@ def test_substring_dedup(spark, batches):
         found = substring.remove_repeats(documents(spark, docs), width, grain, batches, with_text=True)
         assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(docs, width)
         assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in found.collect())
-        for most in (1, 50):
+        for most in (1, 50) if batches == 1 and width == 9 else ():
             found = substring.remove_repeats(documents(spark, docs), width, grain, batches, hot_rows=2, most_hot=most)
             assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(docs, width)
     assert substring.remove_repeats(documents(spark).limit(0)).count() == 0
