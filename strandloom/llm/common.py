@@ -98,6 +98,7 @@ def begin_stage(spark: SparkSession) -> None:
     """Bound Arrow batches, and let go of what earlier stages left with the driver."""
     bound_batches(spark)
     free_shuffles(spark)
+    release_memory()
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, flush_rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:

@@ -18,6 +18,7 @@ search takes place.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -143,6 +144,38 @@ def fillings(counts: np.ndarray, left: int, waste: int) -> Iterator[Pattern]:
                     yield filling
 
 
+#: So many branches at the end of the search path keep their place; those above look it up again.
+LIVE = 16
+
+
+class Branch:
+    """The choices around the largest length, and how far they are tried: patterns and how often at most,
+    each as often as it can be, then each once, so that together with the choices below any number of
+    times is tried."""
+
+    def __init__(self, top: int, now: np.ndarray, capacity: int, waste: int):
+        self.top, self.now, self.room, self.waste = top, now, capacity - top, waste
+        self.tried, self.open = 0, self._all()
+
+    def _all(self) -> Iterator[tuple[Pattern, int]]:
+        for most in (int(self.now.sum()) + 1, 1):
+            for filling in fillings(self.now, self.room, self.waste):
+                more = dict(filling)
+                pattern = ((self.top, more.pop(self.top, 0) + 1), *more.items())
+                if most > 1 or all(self.now[x] + (x == self.top) >= 2 * k for x, k in pattern):
+                    yield pattern, most
+
+    def next(self) -> tuple[Pattern, int] | None:
+        if self.open is None:
+            self.open = itertools.islice(self._all(), self.tried, None)
+        self.tried += 1
+        return next(self.open, None)
+
+    def rest(self) -> None:
+        """Keep the count alone: the tables of an open search are large."""
+        self.open = None
+
+
 def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], nodes: int = 2_000) -> list[tuple[Pattern, int]]:
     """Bin completion.  `nodes` bounds the search; a packing of everything is kept at all times."""
     best, used = incumbent, sum(k for _, k in incumbent)
@@ -152,27 +185,19 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[P
     for length, k in counts.items():
         left[length] = k
     path: list[tuple[Pattern, int, int]] = []  # what is filled, how often, the waste
-    stack: list[Iterator[tuple[Pattern, int]]] = []
+    stack: list[Branch] = []
     wasted = 0
 
-    def choices() -> Iterator[tuple[Pattern, int]]:
-        """Patterns around the largest length and how often at most: each as often as it can be, then each once,
-        so that together with the choices below any number of times is tried."""
+    def choices() -> "Branch":
         top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        now, waste = left.copy(), min(capacity - top, (used - 1) * capacity - total - wasted)
-        left[top] += 1
-        for most in (int(now.sum()) + 1, 1):
-            for filling in fillings(now, capacity - top, waste):
-                more = dict(filling)
-                pattern = ((top, more.pop(top, 0) + 1), *more.items())
-                if most > 1 or all(now[x] + (x == top) >= 2 * k for x, k in pattern):
-                    yield pattern, most
+        now = left.copy()
+        now[top] -= 1
+        return Branch(top, now, capacity, min(capacity - top, (used - 1) * capacity - total - wasted))
 
     if used > bound and left.any():
         stack.append(choices())
     while stack and nodes > 0 and used > bound:
-        choice = next(stack[-1], None)
+        choice = stack[-1].next() if stack[-1] else None
         if choice is None:
             stack.pop()
             if path:
@@ -195,9 +220,11 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[tuple[P
         path.append((pattern, times, spare * times))
         if not left.any():
             best, used = [(p, k) for p, k, _ in path], sum(k for _, k, _ in path)
-            stack.append(iter(()))
+            stack.append(None)
         else:
             stack.append(choices())
+            if len(stack) > LIVE and stack[-LIVE - 1]:
+                stack[-LIVE - 1].rest()
     return best
 
 
