@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch.  Texts are some kilobytes, so a batch is some megabytes.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -127,7 +127,7 @@ class GrayIndex:
         return query, at
 
 
-def forest(prints: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, radius: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Links (places) that connect what the graph of all links within prints, in Gray order, connects."""
     index = GrayIndex(prints)
     left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -161,6 +161,7 @@ def _links(radius: int, flush_rows: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in common.whole_runs(batches, 4, flush_rows):
             yield links(columns)
+        common.release_memory()
 
     return run
 
