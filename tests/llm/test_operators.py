@@ -378,6 +378,19 @@ def test_candidates_lose_no_pair(spark, node_rows):
         assert len(alike) > 20 and alike <= made and len(made) < len(pairs) / 4 and all(i % 3 or j % 3 for i, j in made)
 
 
+def test_common_shingles_are_counted_by_text(spark):
+    rng = random.Random(24)
+    found = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 20))) for _ in range(60)] + [None, "", "one word", "a b a b a b a b"]
+    pack = texts.zstandard.ZstdCompressor().compress
+    rows = spark.createDataFrame([(i, 0, None if t is None else pack(t.encode())) for i, t in enumerate(found)], "id long, settled int, packed binary").repartition(4)
+    counts = Counter(int(x) >> nearcopies.KEY_SHIFT for t in found for x in nearcopies.shingle_set((t or "").encode(), 5))
+    counts = {k: n for k, n in counts.items() if n > 2}
+    assert len(counts) > 20 and nearcopies.common_shingles(rows, len(found), 5) == counts
+    few, above = nearcopies.common_shingles(rows, len(found), 5, most_common=10), sorted(counts.values())[-11]
+    assert few == {k: n for k, n in counts.items() if n > above} and few
+    assert nearcopies.common_shingles(rows.limit(0), 0, 5) == {}
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)]
     for few in (500_000, 0):
