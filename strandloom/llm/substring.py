@@ -155,7 +155,7 @@ class FingerprintIndex:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # The texts of a very common hash are dealt out too.
-        rows.repartition(parts, "hash", F.pmod("id", F.lit(16))).sortWithinPartitions("hash").write.parquet(path)
+        rows.repartition(parts, "hash", F.pmod("id", F.lit(256))).sortWithinPartitions("hash").write.parquet(path)
         return path
 
     def add_batch(self, anchors: DataFrame) -> DataFrame:
@@ -215,6 +215,32 @@ def _windows(width: int, grain: int, hot: np.ndarray, wants_hot: bool):
     return run
 
 
+def _settled(first: np.ndarray, second: np.ndarray):
+    """id, rest and places: where a text holds the given windows, those of a text in one row for each batch it comes in."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    most = int(np.unique(first, return_counts=True)[1].max(initial=0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            place, hit = np.searchsorted(first, columns[0]), np.zeros(batch.num_rows, bool)
+            for step in range(most):
+                near = np.minimum(place + step, len(first) - 1)
+                hit |= (first[near] == columns[0]) & (second[near] == columns[1])
+            at = np.flatnonzero(hit & (columns[3] >= 0))
+            if not len(at):
+                continue
+            ids, places = columns[2][at], columns[3][at]
+            order = np.lexsort((places, ids))
+            ids, rests, places = ids[order], places[order] >> 32, (places[order] & 0xFFFFFFFF).astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (rests[1:] != rests[:-1])])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), pa.array(places))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(rests[starts]), lists], ["id", "rest", "places"])
+
+    return run
+
+
 def _removed(width: int):
     names = ["text_key", "n_words", "n_removed", "kept_sha256", "kept"]
 
@@ -253,7 +279,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
     batches: in how many parts the texts enter the index, which merges its runs
     once there are more than fanout.
 
-    hot_rows: pieces that stand in more places, the most_hot most common ones, go a way of their own.
+    hot_rows: pieces that stand in more places, the most_hot most common ones, go a way of their own,
+    and so do their windows.
 
     history: a shared folder that keeps the index and the distinct texts of all calls so
     far.  A window then also repeats if a document of an earlier call holds it.
@@ -284,17 +311,27 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 8, batches: in
         old = earlier.withColumn("id", text_id("text_key")).join(wanted, "id")
         near = near.union(old.select("id", F.lit(0).cast("long"), "packed", "hashes", F.lit(2).cast("long"), "hot"))
     shape = "first long, second long, id long, place long"
-    # Windows of ordinary pieces are counted where they meet; those of hot ones are combined
-    # before they do, and the most common of them are then looked up without a shuffle.
+    # Windows of ordinary pieces are counted where they meet; those of hot ones are combined before they
+    # do. The most common of them are then known to every task, which gives a row for a text and not for
+    # each place; all others meet their counts in a join.
     cold = near.drop("hot").mapInArrow(_windows(width, grain, hot.view(np.uint64), False), shape)
     met = F.count("*").over(W.partitionBy("first", "second"))
     again = cold.withColumn("n", met).where("n > 1 and place >= 0").select("id", "place")
+    settled = None
     if len(hot):
+        on = ["first", "second"]
         common_ones = common.stored(near.where("hot = 1").drop("hot").mapInArrow(_windows(width, grain, hot.view(np.uint64), True), shape), "windows")
-        twice = common_ones.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1")
-        again = again.union(common.having(common_ones.where("place >= 0"), twice, ["first", "second"]).select("id", "place"))
+        twice = common.stored(common_ones.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "twice")
+        known = twice.where(F.col("n") > hot_rows).orderBy(F.desc("n"), *on).limit(most_hot).collect()
+        pairs = np.array([r[:2] for r in known], np.int64).reshape(-1, 2)
+        settled = common_ones.mapInArrow(_settled(pairs[:, 0], pairs[:, 1]), "id long, rest long, places array<int>")
+        others = common_ones.where("place >= 0").join(F.broadcast(spark.createDataFrame(pairs.tolist(), "first long, second long")), on, "left_anti")
+        again = again.union(others.join(twice.select(*on), on, "left_semi").select("id", "place"))
     rest, at = F.shiftrightunsigned("place", 32).alias("rest"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
-    places = again.select("id", rest, at).groupBy("id", "rest").agg(F.collect_set("at").alias("places"))
+    places = again.select("id", rest, at, F.lit(None).cast("array<int>").alias("more"))
+    if settled is not None:
+        places = places.union(settled.select("id", "rest", F.lit(None).cast("int").alias("at"), F.col("places").alias("more")))
+    places = places.groupBy("id", "rest").agg(F.concat(F.collect_set("at"), F.flatten(F.collect_list("more"))).alias("places"))
     places = common.stored(places.join(chosen.select("text_key", "id", "rest"), ["id", "rest"]).select("text_key", "places"), "places")
     common.free_shuffles(spark)
     judged = texts.join(places, "text_key", "left").select("text_key", "packed", "copies", "places")

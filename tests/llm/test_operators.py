@@ -775,6 +775,30 @@ def test_substring_dedup(spark, batches):
     assert substring.remove_repeats(documents(spark).limit(0)).count() == 0
 
 
+def rows_of_joins(spark, since, kind):
+    """Rows that came out of joins of that kind, on first and second, in queries after the first `since`."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = 0
+    for i in range(since, store.executionsCount()):
+        run = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and f"{kind}" in node.desc() and "first" in node.desc():
+                counts = (m for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows")
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in counts if values.contains(m.accumulatorId()))
+    return total
+
+
+def test_common_windows_are_settled_by_text(spark):
+    line = "over and over the same eleven words stand in this line"
+    docs = [(i, prose(9) + " " + f"{line} " * 20 + prose(40)) for i in range(30)] + [(90, PASSAGE), (91, PASSAGE + " x")]
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = substring.remove_repeats(documents(spark, docs), hot_rows=25)
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(docs, 35)
+    assert rows_of_joins(spark, since, "LeftSemi") <= len(docs)  # and not one for each of some 5,000 places
+
+
 def test_runs_are_compacted(spark):
     index = substring.FingerprintIndex(spark, fanout=2)
     batches = [[(1, 50), (2, 50)], [(2, 51), (3, 51)], [(3, 52), (3, 53), (9, 53)], [(9, 54), (7, 54), (7, 55)]]
