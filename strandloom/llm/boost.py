@@ -1,5 +1,5 @@
 """Gradient-boosted trees for a logistic loss, small enough to fit on the driver
-from a bounded sample and to run as a plain SQL expression on the cluster."""
+from a bounded number of weighted rows, and to run as a plain SQL expression on the cluster."""
 
 from __future__ import annotations
 
@@ -62,7 +62,7 @@ def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int,
         gain[(hl < least) | (hr < least)] = -1
         at = int(np.argmax(gain))
         if gain[at] > best[0]:
-            best = float(gain[at]), feature, float((v[ends[at]] + v[ends[at] + 1]) / 2)
+            best = float(gain[at]), feature, float(v[ends[at]])
     if best[1] is None:
         return value
     go = x[:, best[1]] <= best[2]
@@ -70,42 +70,47 @@ def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int,
     return best[1], best[2], left, right
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth: int = 3, rate: float = 0.3, least: float = 1.0, ridge: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth: int = 3, rate: float = 0.3, least: float = 1.0, ridge: float = 1.0, weight: np.ndarray | None = None, fold: np.ndarray | None = None) -> Trees:
     """Newton boosting on two of four rows; then a logistic curve over the margins of a third one
-    calibrates them.  The last of each four is left to whoever chooses a threshold."""
+    calibrates them.  The last of each four is left to whoever chooses a threshold.
+
+    weight: how many rows a row stands for; y is then the share of them that is positive.
+    fold: which of the four a row is, from 0."""
     if not len(x):
         return Trees(names, 0.0, [], 0.0, -40.0)
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    weight = np.ones(len(x)) if weight is None else weight
+    share = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
     model = Trees(names, float(np.log(share / (1 - share))), [])
-    place = np.arange(len(x)) % 4
+    place = np.arange(len(x)) % 4 if fold is None else fold
     seen, held = place < 2, place == 2
     margin = np.full(len(x), model.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        tree = _grow(x[seen], (y - p)[seen], (p * (1 - p))[seen], depth, least, ridge, rate)
+        tree = _grow(x[seen], (weight * (y - p))[seen], (weight * p * (1 - p))[seen], depth, least, ridge, rate)
         model.trees.append(tree)
         margin += _apply(tree, x)
-    model.slope, model.offset = _curve(margin[held], y[held]) if held.any() else (1.0, 0.0)
+    model.slope, model.offset = _curve(margin[held], y[held], weight[held]) if held.any() else (1.0, 0.0)
     return model
 
 
-def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton's method, towards 1 and 0 where there is little to learn from."""
     beta, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
     design = np.stack([margin, np.ones(len(margin))], 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.eye(2), design.T @ (y - p) - (beta - start))
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2), design.T @ (weight * (y - p)) - (beta - start))
         beta = beta + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
             break
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
-def threshold(probability: np.ndarray, y: np.ndarray, precision: float) -> float:
+def threshold(probability: np.ndarray, y: np.ndarray, precision: float, weight: np.ndarray | None = None) -> float:
     """The smallest score at and above which that share of the rows is positive; above 1 if there is none."""
     order = np.argsort(-probability, kind="stable")
-    p, hits = probability[order], np.cumsum(y[order])
+    weight = np.ones(len(y)) if weight is None else weight
+    p, hits, rows = probability[order], np.cumsum((weight * y)[order]), np.cumsum(weight[order])
     ends = np.flatnonzero(np.r_[p[1:] < p[:-1], True]) if len(p) else np.zeros(0, int)
-    good = ends[hits[ends] >= precision * (ends + 1)]
+    good = ends[hits[ends] >= precision * rows[ends]]
     return float(p[good[-1]]) if len(good) else 2.0

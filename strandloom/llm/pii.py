@@ -5,7 +5,8 @@ ip, card, phone) are always kept.  Two generators with high recall propose
 further spans (long keys of letters and digits, and digit groups of any
 grouping); each candidate gets features of its format and its context, and
 gradient-boosted trees, written out as one SQL expression, score it.  The trees
-are fitted on the driver on the candidates of a bounded sample of documents,
+are fitted on the candidates of all documents: candidates of equal features are
+counted on the executors, and the driver fits on the counts,
 with labels from rules that the features don't hold: a digit group is positive
 where it meets a fixed form, a key where a word for a credential stands before
 it.  Scores are calibrated on candidates the trees haven't seen, and the
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import boost
+from . import boost, common
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "key", "number")
@@ -39,6 +40,7 @@ PATTERNS = {
 }
 CREDENTIAL = r"(?i)(?:token|secret|passw|pwd|api.?key|auth|bearer|credential)"
 FEATURES = ("n", "digits", "letters", "others", "distinct_signs", "digit_share", "plus", "dots", "luhn", "quoted", "assigned", "spaced")
+FLAGS = ("plus", "luhn", "quoted", "assigned", "spaced")
 _SPAN = "array<struct<start:int,kind:int,stop:int,found:string>>"
 
 
@@ -144,24 +146,61 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
 
-def fit(docs: DataFrame, sample_docs: int = 4000, precision: float = 0.95, id_column: str = "doc_id", text_column: str = "text") -> tuple[boost.Trees, float]:
-    """The trees and the threshold, from the candidates of at most sample_docs documents, taken by the hash of their ids."""
-    rows = _rows(docs, id_column, text_column)
-    ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    ids = docs.sparkSession.createDataFrame([(r[0],) for r in ids.collect()], "doc_id long")  # at most sample_docs rows
-    found = _with_candidates(_with_base(rows.join(F.broadcast(ids), "doc_id")))
-    # The outer form keeps the optimizer from a filter that runs every pattern below the sample's join.
+def _counted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """How many candidates there are of each combination of features, and how many of them are positive (n<p>, y<p>), in
+    three parts: 0 for the trees, 1 for the curve, 2 for the threshold.  A hash of document and span chooses the part."""
+    found = _with_candidates(_with_base(_rows(docs, id_column, text_column)))
+    # The outer form keeps the optimizer from a filter that runs every pattern once more.
     found = found.select("base", "doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
     key = F.col("c.kind") == KINDS.index("key")
     label = F.when(key, F.col("c.before").rlike(CREDENTIAL)).otherwise(_meets(F.col("c"), F.col("base")))
-    # A document of very many candidates can't fill the sample: `most` rows by hash at the end.
-    table = found.select(label.cast("double").alias("label"), *(F.col(f"c.{k}") for k in FEATURES), F.xxhash64("doc_id", "c.start", "c.kind", "c.stop", "c.found").alias("order"))
-    table = table.orderBy("order", *FEATURES, "label").limit(5 * sample_docs).collect()
-    x = np.array([[r[k] for k in FEATURES] for r in table], float).reshape(-1, len(FEATURES))
-    y = np.array([r["label"] for r in table], float)
-    model = boost.fit(x, y, [f"c.{k}" for k in FEATURES])
-    held = np.arange(len(x)) % 4 == 3  # neither the trees nor the curve have seen them
-    return model, boost.threshold(model.probability(x[held]), y[held], precision)
+    part = F.greatest(F.pmod(F.xxhash64("doc_id", "c.start", "c.kind", "c.stop", "c.found"), F.lit(4)) - 1, F.lit(0))
+    rows = found.select(*(F.col(f"c.{k}") for k in FEATURES), label.alias("label"), part.alias("part"))
+    counts = [F.count(F.when(F.col("part") == p, 1)).alias(f"n{p}") for p in range(3)]
+    hits = [F.count(F.when((F.col("part") == p) & F.col("label"), 1)).alias(f"y{p}") for p in range(3)]
+    return rows.groupBy(*FEATURES).agg(*counts, *hits)
+
+
+def _rounded(cells: DataFrame, coarse: int) -> DataFrame:
+    """The cells with features rounded up to fewer values, added up: counts to multiples of 2**coarse, larger ones to
+    eighths of a power of two times that, shares to multiples of 2**coarse sixty-fourths."""
+
+    def up(k: str) -> Column:
+        v = F.col(k)
+        if k in FLAGS:
+            return v
+        if k == "digit_share":
+            return F.ceil(v * (64 / 2**coarse)) * (2**coarse / 64)
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(v, F.lit(1.0)))) - 3, F.lit(0)) + coarse)
+        return F.ceil(v / step) * step
+
+    sums = [F.sum(f"{k}{p}").alias(f"{k}{p}") for k in "ny" for p in range(3)]
+    return cells.select(*(up(k).cast("double").alias(k) for k in FEATURES), *(f"{k}{p}" for k in "ny" for p in range(3))).groupBy(*FEATURES).agg(*sums)
+
+
+def fit(docs: DataFrame, most_cells: int = 20_000, precision: float = 0.95, id_column: str = "doc_id", text_column: str = "text") -> tuple[boost.Trees, float]:
+    """The trees and the threshold, from all candidates of all documents.
+
+    The driver takes one row for each combination of features.  Should there be more than most_cells
+    of them, features are rounded up, ever more coarsely, until there aren't: every candidate still counts, and
+    a cut of the trees parts the unrounded values as it parts the rounded ones, since it lies at one of these.
+    """
+    cells = common.stored(_counted(docs, id_column, text_column), "cells")
+    table, coarse = cells.limit(most_cells + 1).collect(), 0
+    while len(table) > most_cells and coarse < 40:
+        table = _rounded(cells, coarse).limit(most_cells + 1).collect()
+        coarse += 1
+    if len(table) > most_cells:
+        raise ValueError(f"the candidates don't fit into {most_cells} cells")
+    common.drop_stored(cells)
+    table.sort()
+    x = np.array([r[: len(FEATURES)] for r in table], float).reshape(-1, len(FEATURES))
+    n, y = (np.array([[r[f"{k}{p}"] for p in range(3)] for r in table], float).reshape(-1, 3) for k in "ny")
+    cell, part = np.nonzero(n)
+    x, n, y = x[cell], n[cell, part], y[cell, part] / n[cell, part]
+    model = boost.fit(x, y, [f"c.{k}" for k in FEATURES], weight=n, fold=part + 1)
+    held = part == 2  # neither the trees nor the curve have seen them
+    return model, boost.threshold(model.probability(x[held]), y[held], precision, n[held])
 
 
 def find_spans(docs: DataFrame, model: boost.Trees, threshold: float, id_column: str = "doc_id", text_column: str = "text", keep: list[Column] | None = None) -> DataFrame:

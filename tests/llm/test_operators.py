@@ -504,6 +504,41 @@ def test_personal_data(spark):
     assert pii.digest(pii.find_spans(empty, *pii.fit(empty))).count() == 0
 
 
+def test_every_candidate_counts(spark, monkeypatch):
+    """Trees and threshold come from all documents, also where features have to be rounded."""
+    seen = []
+
+    def spy(x, y, names, weight=None, fold=None):
+        weight = np.ones(len(x)) if weight is None else weight
+        seen.append((weight.sum(), (weight * y).sum(), len(x)))
+        return fitted(x, y, names, **{} if fold is None else {"weight": weight, "fold": fold})
+
+    fitted = boost.fit
+    monkeypatch.setattr(pii.boost, "fit", spy)
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(rng.randint(8, 20)))
+    rows = [(i, f"{'token =' if i % 5 == 0 else 'see'} {key()} x") for i in range(5000)]
+    table = documents(spark, rows)
+    whole, threshold = pii.fit(table)
+    assert seen[0][:2] == (5000, 1000) and seen[0][2] > 3 * 40
+    coarse, other = pii.fit(table, most_cells=40)
+    assert seen[1][:2] == (5000, 1000) and seen[1][2] <= 3 * 40
+    for model, at in ((whole, threshold), (coarse, other)):
+        found = pii.digest(pii.find_spans(table, model, at)).where("spans like 'key:%'").select("doc_id").collect()
+        assert {r.doc_id for r in found} == set(range(0, 5000, 5))
+
+
+def test_weights_stand_for_rows():
+    rng = np.random.default_rng(5)
+    x, weight = rng.integers(0, 6, (200, 3)).astype(float), rng.integers(1, 5, 200)
+    y, fold = (x[:, 0] + x[:, 1] > 5).astype(float), rng.integers(0, 4, 200)
+    once = boost.fit(x, y, ["a", "b", "c"], weight=weight.astype(float), fold=fold)
+    many = boost.fit(*(np.repeat(v, weight, axis=0) for v in (x, y)), ["a", "b", "c"], fold=np.repeat(fold, weight))
+    assert np.allclose(once.probability(x), many.probability(x))
+    p = many.probability(x)
+    assert boost.threshold(p, y, 0.9, weight.astype(float)) == boost.threshold(np.repeat(p, weight), np.repeat(y, weight), 0.9)
+
+
 def test_boosted_trees_in_sql(spark):
     rng = np.random.default_rng(4)
     x = rng.random((600, 3))
