@@ -10,11 +10,12 @@ right after a header always belongs to the read, even if it begins with ``>``.
 In FASTQ a line is a read if the line before begins with ``@`` and the one after
 with ``+``.
 
-Plain files are read in ranges of split_bytes by many tasks.  Without k a range takes
-the records that begin in it.  With k a FASTA range takes the windows of k signs that
-start in it, wherever their record began, so that one long record, even of a single
-line, is read by many tasks in pieces of bounded size; in parts behind the first the
-header is null and the offset is where the range begins.  A gzip file is one task.
+Plain files are read in ranges of split_bytes by many tasks; short ranges in a row share a
+task of about TASK bytes.  Without k a range takes the records that begin in it.  With k a
+FASTA range takes the windows of k signs that start in it, wherever their record began, so
+that one long record, even of a single line, is read by many tasks in pieces of bounded
+size; in parts behind the first the header is null and the offset is where the range
+begins.  A gzip file is one task.
 """
 
 from __future__ import annotations
@@ -30,17 +31,22 @@ from . import files
 
 SCHEMA = "file string, offset long, piece long, header string, seq string"
 BLOCK = 1 << 20
+#: Bytes of the first read at a place; the next ones double up to BLOCK, so that a short range reads little.
+FIRST = 1 << 12
+#: Bytes that a task reads where ranges are shorter.  A task costs as much as thousands of short ranges.
+TASK = 2 << 20
 
 
 _END = re.compile(rb"\r\n?|\n")
 
 
-def parts_of(stream, at: int = 0) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+def parts_of(stream, at: int = 0, line: int | None = None) -> Iterator[tuple[int, int, bytes, bytes | None]]:
     """(offset of the line, offset of the part, bytes, line end or None if the line goes on): lines in
-    parts of at most a block.  Each byte is looked at once."""
-    line, inside, held, ended = at, False, b"", False
+    parts of at most a block.  Each byte is looked at once.  line: the start of the line that `at` lies in."""
+    line = at if line is None else line
+    inside, held, ended, size = line < at, b"", False, FIRST
     while not ended:
-        block = stream.read(BLOCK)
+        block, size = stream.read(min(size, BLOCK)), 2 * size
         ended = not block
         block, held = held + block, b""
         if not ended and block.endswith(b"\r"):
@@ -69,15 +75,18 @@ def lines_of(stream, at: int = 0) -> Iterator[tuple[int, bytes, bytes]]:
 
 def line_start(stream, at: int) -> int:
     """The start of the line that holds the byte at `at`."""
-    while at:
-        low = max(0, at - BLOCK)
+    (start, known), size = getattr(stream, "line", (0, 0)), FIRST
+    while not start <= at <= known:
+        low = max(0, at - min(size, BLOCK), known if known < at else 0)
         stream.seek(low)
         block = stream.read(at - low)
         found = max(block.rfind(b"\n"), block.rfind(b"\r"))
         if found >= 0:
             return low + found + 1
-        at = low
-    return 0
+        if not low:
+            return 0
+        at, size = low, 2 * size
+    return start
 
 
 def _byte(stream, at: int) -> bytes:
@@ -106,8 +115,15 @@ def is_header(stream, start: int, strict: bool) -> bool:
 
 def _after_header(stream, start: int) -> bool:
     """Whether any header stands before the line that starts there."""
-    stream.seek(0)
-    return any(line == at and data[:1] == b">" for line, at, data, _ in parts_of(_Limited(stream, start)))
+    searched, headed = getattr(stream, "searched", (0, False))
+    if searched > start:
+        searched, headed = 0, False
+    if not headed:
+        stream.seek(searched)
+        headed = any(line == at and data[:1] == b">" for line, at, data, _ in parts_of(_Limited(stream, start - searched), searched))
+    if isinstance(stream, Held):
+        stream.searched = start, headed
+    return headed
 
 
 def fasta_windows(stream, begin: int, stop: int | None, k: int, piece_len: int, strict: bool = False) -> Iterator[tuple[int, int, bytes | None, bytes]]:
@@ -116,15 +132,23 @@ def fasta_windows(stream, begin: int, stop: int | None, k: int, piece_len: int,
     if begin and _byte(stream, begin) == b"\n" and _byte(stream, begin - 1) == b"\r":
         begin += 1
     start = line_start(stream, begin)
-    marked = is_header(stream, start, strict)
-    # Whether a read goes on here, and whether its first line is one that looks like a header.
-    going = begin > 0 and not marked and _after_header(stream, start)
-    after = going and _byte(stream, start) == b">"
+    held = stream if isinstance(stream, Held) else None
+    if held and held.state and held.line[0] == start:
+        marked, going, after = held.state
+    else:
+        marked = is_header(stream, start, strict)
+        # Whether a read goes on here, and whether its first line is one that looks like a header.
+        going = begin > 0 and not marked and _after_header(stream, start)
+        after = going and _byte(stream, start) == b">"
+    if held:
+        held.line, held.state = (start, begin), (marked, going, after)
     offset, number, header, title, late = begin, 1, None, [], 0
     pieces, in_header = Cutter(k, piece_len, False), False
     stop = float("inf") if stop is None else stop
-    stream.seek(start)
-    for line, at, data, end in parts_of(stream, start):
+    if start < begin:  # what the line has before the range is not needed
+        in_header, after = marked, False
+    stream.seek(begin)
+    for line, at, data, end in parts_of(stream, begin, start):
         if line == at:
             in_header, after = data[:1] == b">" and not after, False
             if in_header or not going and line >= stop:
@@ -252,9 +276,39 @@ class _Limited:
         return data
 
 
+class Held:
+    """A file of which the last block is held, with what earlier ranges found, so that short ranges
+    in a row read each byte about once."""
+
+    def __init__(self, stream):
+        self.stream, self.at, self.low, self.data = stream, 0, 0, b""
+        self.line = 0, 0  # the start of a line, and up to where it is known to go on
+        self.state = None  # what is known of that line: marked, going and after of fasta_windows
+        self.searched = 0, False  # the start of a line, and whether a header stands before it
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, n: int) -> bytes:
+        if self.at < self.low:  # a look back leaves the block as it is
+            self.stream.seek(self.at)
+            data = self.stream.read(n)
+            self.at += len(data)
+            return data
+        if self.at + n > self.low + len(self.data):
+            self.low = max(0, self.at - FIRST)
+            self.stream.seek(self.low)
+            self.data = self.stream.read(self.at - self.low + max(n, BLOCK))
+        data = self.data[self.at - self.low : self.at - self.low + n]
+        self.at += len(data)
+        return data
+
+
 class FileRange(InputPartition):
-    def __init__(self, path: str, begin: int, stop: int | None, packed: bool):
-        self.path, self.begin, self.stop, self.packed = path, begin, stop, packed
+    """Ranges in a row of one file: where each begins, and where the last ends."""
+
+    def __init__(self, path: str, begins: range, stop: int | None, packed: bool):
+        self.path, self.begins, self.stop, self.packed = path, begins, stop, packed
 
 
 class FastxReader(DataSourceReader):
@@ -280,23 +334,26 @@ class FastxReader(DataSourceReader):
                     packed = f.read(2) == b"\x1f\x8b"
             size = files.size(path)
             if packed or size <= self.split:
-                out.append(FileRange(path, 0, None, packed))
+                out.append(FileRange(path, range(1), None, packed))
             else:
-                edges = [*range(0, size, self.split), None]
-                out += [FileRange(path, a, b, False) for a, b in zip(edges, edges[1:])]
+                begins, n = range(0, size, self.split), max(1, TASK // self.split)
+                out += [FileRange(path, begins[i : i + n], begins[i + n] if i + n < len(begins) else None, False) for i in range(0, len(begins), n)]
         return out
 
     def read(self, partition: FileRange) -> Iterator[tuple]:
         with files.opened(partition.path) as stream:
             if partition.packed:
                 stream = gzip.open(stream)  # members in a row are read on, a cut-off one raises
-            for offset, number, header, seq in self._pieces(stream, partition.begin, partition.stop):
+            for offset, number, header, seq in self._pieces(stream, partition.begins, partition.stop):
                 yield partition.path, offset, number, None if header is None else header.decode("utf-8", "replace"), seq.decode("latin-1")
 
-    def _pieces(self, stream, begin: int, stop: int | None) -> Iterator[tuple[int, int, bytes | None, bytes]]:
+    def _pieces(self, stream, begins: range, stop: int | None) -> Iterator[tuple[int, int, bytes | None, bytes]]:
         if self.k and self.format == "fasta":
-            yield from fasta_windows(stream, begin, stop, self.k, self.piece_len, self.strict)
+            stream = Held(stream) if len(begins) > 1 else stream
+            for begin, end in zip(begins, [*begins[1:], stop]):
+                yield from fasta_windows(stream, begin, end, self.k, self.piece_len, self.strict)
             return
+        begin = begins[0]  # the records of ranges in a row are those of one range
         at = _back_to_line(stream, begin) if begin else 0
         if begin:
             stream.seek(at)

@@ -101,6 +101,45 @@ def test_a_long_line_takes_linear_time(tmp_path):
     assert total == (48 << 20) - 24 and time.time() - begin < 20
 
 
+class Watched:
+    """A stream that adds up the bytes read."""
+
+    total = 0
+
+    def __init__(self, stream):
+        self.stream, self.seek = stream, stream.seek
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stream.close()
+
+    def read(self, n):
+        data = self.stream.read(n)
+        Watched.total += len(data)
+        return data
+
+
+@pytest.mark.parametrize("line", [1920, 3 << 20])
+def test_short_ranges_share_tasks(monkeypatch, tmp_path, line):
+    rng = np.random.default_rng(7)
+    text = b"".join(b">r%d\n%s\n" % (i, rng.choice(list(b"ACGT"), line).astype(np.uint8).tobytes()) for i in range((3 << 20) // line))
+    path = str(tmp_path / "long.fa")
+    with open(path, "wb") as f:
+        f.write(text)
+    monkeypatch.setattr(Watched, "total", 0)
+    monkeypatch.setattr(files, "opened", lambda path, opened=files.opened: Watched(opened(path)))
+    reader = fastx.FastxReader({"path": path, "k": "11", "piece_len": "100", "split_bytes": "1000"})
+    parts = reader.partitions()
+    assert len(parts) == 2  # and not one for each of 3,000 ranges
+    found = [row[1:] for p in parts for row in reader.read(p)]
+    assert Watched.total < 4 * len(text)
+    edges = [*range(0, len(text), 1000), None]
+    ranges = [x for a, b in zip(edges, edges[1:]) for x in fasta_windows(io.BytesIO(text), a, b, 11, 100)]
+    assert found == [(o, n, h and h.decode(), s.decode()) for o, n, h, s in ranges]
+
+
 def test_files(tmp_path):
     (tmp_path / "b.fa").write_text("x")
     (tmp_path / "a.fa").write_text("xy")
