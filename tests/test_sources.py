@@ -140,6 +140,24 @@ def test_short_ranges_share_tasks(monkeypatch, tmp_path, line):
     assert found == [(o, n, h and h.decode(), s.decode()) for o, n, h, s in ranges]
 
 
+@pytest.mark.parametrize("kind", ["fastq", "fasta"])
+def test_ranges_of_whole_records_are_read_as_one(monkeypatch, tmp_path, kind):
+    rng = np.random.default_rng(8)
+    reads = [rng.choice(list(b"ACGT"), n).astype(np.uint8).tobytes().decode() for n in rng.integers(0, 60, 40_000)]
+    text = "".join(f"@r{i}\n{s}\n+\n{s}\n" if kind == "fastq" else f">r{i}\n{s}\n" for i, s in enumerate(reads)).encode()
+    path = str(tmp_path / "x")
+    with open(path, "wb") as f:
+        f.write(text)
+    monkeypatch.setattr(Watched, "total", 0)
+    monkeypatch.setattr(files, "opened", lambda path, opened=files.opened: Watched(opened(path)))
+    reader = fastx.FastxReader({"path": path, "format": kind, "split_bytes": "4096"})
+    parts = reader.partitions()
+    assert len(parts) == -(-len(text) // (2 << 20)) and len(text) > 1 << 20  # and not one for each 4,096 bytes
+    rows = [row for p in parts for row in reader.read(p)]
+    assert [row[3:] for row in rows] == [(f"r{i}", s) for i, s in enumerate(reads)]
+    assert Watched.total < 3 * len(text)
+
+
 def test_files(tmp_path):
     (tmp_path / "b.fa").write_text("x")
     (tmp_path / "a.fa").write_text("xy")
